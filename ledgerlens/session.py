@@ -17,6 +17,7 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
