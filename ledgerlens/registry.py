@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_CORE = ("ledgerlens.plans.transaction_problems",)
+_CORE = (
+    "ledgerlens.plans.transaction_problems",
+    "ledgerlens.plans.feature_queries",
+)
 
 
 def gather(modules: tuple[str, ...] = _CORE) -> tuple[dict, dict]:
