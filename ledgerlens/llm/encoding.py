@@ -46,6 +46,7 @@ class Vocabulary:
         with open(os.path.join(folder, name), "rb") as file:
             self.ranks = file.read()
         self.mark = hashlib.blake2b(self.ranks, digest_size=8).digest()
+        self.width = "<u2" if len(self.ranks.splitlines()) <= 1 << 16 else "<u4"  # of an id between the stages
 
     def encoder(self):
         made = _encoders.get(self.mark)
@@ -118,7 +119,7 @@ def split_at_syncs(chunk: str) -> tuple[str, str | None, str]:
     return chunk[:y], chunk[y:x], chunk[x:]
 
 
-def assemble(pieces, encode) -> list[int]:
+def assemble(pieces, encode) -> np.ndarray:
     """The ids of a text from its chunks' (head, ids of the middle or None, tail), joints encoded anew."""
     out: list = []
     pending = ""
@@ -126,10 +127,11 @@ def assemble(pieces, encode) -> list[int]:
         pending += head
         if middle is None:
             continue
-        out += encode(pending)
-        out += middle
+        out += [np.array(encode(pending), dtype=np.int32), middle]
         pending = tail
-    return out + encode(pending) if pending else out
+    if pending:
+        out.append(np.array(encode(pending), dtype=np.int32))
+    return np.concatenate(out).astype(np.int32, copy=False) if out else np.zeros(0, np.int32)
 
 
 def _digest(text: str, size: int = 16) -> bytes:
@@ -161,19 +163,19 @@ def encode_corpus(documents: DataFrame, vocabulary: Vocabulary | None = None, ke
 
     @F.pandas_udf("head string, middle binary, tail string")
     def encoded(chunks: pd.Series) -> pd.DataFrame:
-        encode = shared.value.encoder().encode_ordinary
+        encode, width = shared.value.encoder().encode_ordinary, shared.value.width
         out = []
         for c in chunks:
             head, middle, tail = split_at_syncs(c)
-            out.append((head, None if middle is None else np.array(encode(middle), dtype="<u4").tobytes(), tail))
+            out.append((head, None if middle is None else np.array(encode(middle), dtype=width).tobytes(), tail))
         return pd.DataFrame(out, columns=["head", "middle", "tail"])
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = shared.value.encoder().encode_ordinary
+        encode, width = shared.value.encoder().encode_ordinary, shared.value.width
         name, pieces, copies = None, [], 0
 
         def finish():
-            ids = np.array(assemble([(h, None if m is None else np.frombuffer(m, "<u4").tolist(), t) for h, m, t in pieces], encode), dtype=np.int32)
+            ids = assemble([(h, None if m is None else np.frombuffer(m, width), t) for h, m, t in pieces], encode)
             return [(None if pd.isna(name[0]) else name[0], ids)] * copies
 
         for frame in frames:
