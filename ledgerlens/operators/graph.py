@@ -220,9 +220,8 @@ def _ranked(df: DataFrame, order: list[str], buckets: int = 256) -> DataFrame:
     buckets: ranks are exact whatever they are.
     """
     first = order[0]
-    cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("c")).select("c").scalar()
-    # equal values never share a bucket with a cut between them
-    bucket = F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(first).cast("double"))), F.lit(0))
+    cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()[0]
+    bucket = F.size(F.filter(F.lit(cuts or [0.0]), lambda c: c < F.col(first).cast("double")))  # equal values share a bucket
     placed = df.withColumn("_b", bucket).withColumn("_t", F.lit(0))
     counts = placed.groupBy("_b").agg(F.count("*").alias("_c"))
     offsets = counts.select("_b", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_n"))

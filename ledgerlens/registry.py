@@ -7,6 +7,7 @@ import importlib
 _CORE = (
     "ledgerlens.plans.transaction_problems",
     "ledgerlens.plans.feature_queries",
+    "ledgerlens.plans.graph_queries",
 )
 
 

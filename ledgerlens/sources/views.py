@@ -79,7 +79,7 @@ TX_SQL = """tx AS (SELECT row_index,
   CASE WHEN tx_score BETWEEN 0 AND 1 THEN tx_score END AS score
   FROM (SELECT DISTINCT ON (row_index) * FROM transactions))"""
 EDGE_SQL = """e AS (SELECT Sender_account AS src, Receiver_account AS dst,
-  greatest(CASE WHEN amount_local_npr IS NULL OR isnan(amount_local_npr) THEN 0.0 ELSE amount_local_npr END, 0.0) AS amount, CAST("Date" AS DATE) AS day, "Date" AS at
+  greatest(CASE WHEN amount_local_npr IS NULL OR isnan(amount_local_npr) THEN 0e0 ELSE amount_local_npr END, 0e0) AS amount, CAST("Date" AS DATE) AS day, "Date" AS moment
   FROM graph_edges WHERE Sender_account IS NOT NULL AND Receiver_account IS NOT NULL AND "Date" IS NOT NULL)"""
 FEEDBACK_SQL = """fb AS (SELECT path_id, "timestamp" AS ts, account_id, score, CAST(label AS INTEGER) AS label FROM feedback
   WHERE label IS NOT NULL AND path_id IS NOT NULL AND "timestamp" IS NOT NULL AND score BETWEEN 0 AND 1)"""
