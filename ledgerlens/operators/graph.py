@@ -7,9 +7,10 @@ aggregates on edge tables; nothing collects the neighbours of a vertex.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import in_order
+
 # Decay per half-life, days and count of a burst, share of a closed group, days of dormancy and its cap.
 DECAY = 0.693
 BURST_DAYS, BURST_MORE_THAN = 3, 5
@@ -206,24 +207,7 @@ def qcut(df: DataFrame, columns: list[str], bins: int, key: str) -> DataFrame:
     """
     out = df
     for c in columns:
-        out = _ranked(out.withColumn("_v", F.coalesce(c, F.lit(0))), ["_v", key])
+        out = in_order(out.withColumn("_v", F.coalesce(c, F.lit(0)).cast("double")), "_v", key)
         bin_ = F.greatest(F.expr(f"((_rank - 1) * {bins} + _n - 2) div greatest(_n - 1, 1) - 1"), F.lit(0))
         out = out.withColumn(f"{c}_bin", F.when(F.col("_n") > 1, bin_).otherwise(0).cast("int")).drop("_v", "_rank", "_n")
     return out
-
-
-def _ranked(df: DataFrame, order: list[str], buckets: int = 256) -> DataFrame:
-    """df with _rank (from 1) and _n over all rows, the order being total.
-
-    Rows fall into value buckets by approximate quantiles; each bucket is numbered on its
-    own and moved on by the rows of the buckets below it. The quantiles only balance the
-    buckets: ranks are exact whatever they are.
-    """
-    first = order[0]
-    cuts = df.agg(F.percentile_approx(F.col(first).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()[0]
-    bucket = F.size(F.filter(F.lit(cuts or [0.0]), lambda c: c < F.col(first).cast("double")))  # equal values share a bucket
-    placed = df.withColumn("_b", bucket).withColumn("_t", F.lit(0))
-    counts = placed.groupBy("_b").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_n"))
-    inside = F.row_number().over(W.partitionBy("_b").orderBy(*order))
-    return placed.withColumn("_in", inside).join(F.broadcast(offsets), "_b").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_b", "_t", "_before", "_in")  # at most `buckets` rows

@@ -8,6 +8,7 @@ _CORE = (
     "ledgerlens.plans.transaction_problems",
     "ledgerlens.plans.feature_queries",
     "ledgerlens.plans.graph_queries",
+    "ledgerlens.plans.risk_queries",
 )
 
 
