@@ -9,6 +9,7 @@ _CORE = (
     "ledgerlens.plans.feature_queries",
     "ledgerlens.plans.graph_queries",
     "ledgerlens.plans.risk_queries",
+    "ledgerlens.plans.report_queries",
 )
 
 
