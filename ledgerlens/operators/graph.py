@@ -7,9 +7,11 @@ aggregates on edge tables; nothing collects the neighbours of a vertex.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import in_order
+from ledgerlens.session import materialise
 
 # Decay per half-life, days and count of a burst, share of a closed group, days of dormancy and its cap.
 DECAY = 0.693
@@ -66,24 +68,32 @@ def undirected(simple: DataFrame) -> DataFrame:
     return simple.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def clustering(simple: DataFrame) -> DataFrame:
-    """(id, degree, triangles, clustering) of the undirected simple projection; vertices with only self-loops come out with 0.
+def corners(pairs: DataFrame, *groups: str) -> DataFrame:
+    """(groups, id, degree, triangles) of undirected edges (groups, a, b), a < b.
 
     Every edge points to its end with more neighbours, so a hub opens no wedges: the wedges
     of a vertex stay below the square root of twice the number of edges, squared.
     """
-    pairs = undirected(simple)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    da, db = degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), degree.select(F.col("id").alias("b"), F.col("degree").alias("db"))
-    known = pairs.join(da, "a").join(db, "b")
+    degree = pairs.select(*groups, F.explode(F.array("a", "b")).alias("id")).groupBy(*groups, "id").agg(F.count("*").alias("degree"))
+    ends = [degree.withColumnsRenamed({"id": end, "degree": f"d{end}"}) for end in ("a", "b")]
+    known = pairs.join(ends[0], [*groups, "a"]).join(ends[1], [*groups, "b"])
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    arcs = known.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
-    wedges = arcs.join(arcs.select("x", F.col("y").alias("z")), "x").where("y < z")
-    closed = wedges.join(pairs.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi")
-    corners = closed.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
-    out = vertices(simple).join(degree, "id", "left").join(corners, "id", "left").na.fill(0, ["degree", "triangles"])
-    wedge = F.col("degree") * (F.col("degree") - 1)
-    return out.withColumn("clustering", F.when(wedge > 0, 2 * F.col("triangles") / F.when(wedge > 0, wedge)).otherwise(0.0))
+    arcs = known.select(*groups, F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    wedges = arcs.join(arcs.withColumnRenamed("y", "z"), [*groups, "x"]).where("y < z")
+    closed = wedges.join(pairs.withColumnsRenamed({"a": "y", "b": "z"}), [*groups, "y", "z"], "left_semi")
+    found = closed.select(*groups, F.explode(F.array("x", "y", "z")).alias("id")).groupBy(*groups, "id").agg(F.count("*").alias("triangles"))
+    return degree.join(found, [*groups, "id"], "left").na.fill(0, ["triangles"])
+
+
+def local_clustering(degree: Column, triangles: Column) -> Column:
+    wedge = degree * (degree - 1)
+    return F.when(wedge > 0, 2 * triangles / F.when(wedge > 0, wedge)).otherwise(0.0)
+
+
+def clustering(simple: DataFrame) -> DataFrame:
+    """(id, degree, triangles, clustering) of the undirected simple projection; vertices with only self-loops come out with 0."""
+    out = vertices(simple).join(corners(undirected(simple)), "id", "left").na.fill(0, ["degree", "triangles"])
+    return out.withColumn("clustering", local_clustering(F.col("degree"), F.col("triangles")))
 
 
 def reference_day(edges: DataFrame) -> Column:
@@ -154,25 +164,19 @@ def topology(simple: DataFrame, seeds: DataFrame) -> DataFrame:
     """Per seed the shape of its two-hop network: n_nodes, n_edges, edge_density, diameter, avg_clustering, degree_asymmetry, component_ratio.
 
     Ego networks are connected, so component_ratio is 1; with fewer than three vertices
-    clustering and asymmetry are 0. The diameter is found by breadth-first levels of all
-    vertex pairs of an ego as rows, each level pre-aggregated, and is exact.
+    clustering and asymmetry are 0.
     """
-    members = two_hop(simple, seeds)
-    inside = induced(simple, members)
+    members = materialise(two_hop(simple, seeds))
+    inside = materialise(induced(simple, members))
     size = members.groupBy("seed").agg(F.count("*").alias("n_nodes"))
     n_edges = inside.groupBy("seed").agg(F.count("*").alias("n_edges"))
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     per = inside.select("seed", F.explode(ends).alias("e")).groupBy("seed", "e.id").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
     per = members.join(per, ["seed", "id"], "left").na.fill(0, ["i", "o"])
     spread = per.groupBy("seed").agg((F.var_pop("i") / F.greatest(F.var_pop("o"), F.lit(1e-10))).alias("asymmetry"))
-    pairs = inside.where("src <> dst").select("seed", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    degree = pairs.select("seed", F.explode(F.array("a", "b")).alias("id")).groupBy("seed", "id").agg(F.count("*").alias("d"))
-    wedge = pairs.join(pairs.select("seed", F.col("a"), F.col("b").alias("c")), ["seed", "a"]).where("b < c")
-    closed = wedge.join(pairs.select("seed", F.col("a").alias("b"), F.col("b").alias("c")), ["seed", "b", "c"], "left_semi")
-    corners = closed.select("seed", F.explode(F.array("a", "b", "c")).alias("id")).groupBy("seed", "id").agg(F.count("*").alias("t"))
-    local = members.join(degree, ["seed", "id"], "left").join(corners, ["seed", "id"], "left").na.fill(0, ["d", "t"])
-    w = F.col("d") * (F.col("d") - 1)
-    mean = local.groupBy("seed").agg(F.avg(F.when(w > 0, 2 * F.col("t") / F.when(w > 0, w)).otherwise(0.0)).alias("clustering"))
+    pairs = materialise(inside.where("src <> dst").select("seed", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    local = members.join(corners(pairs, "seed"), ["seed", "id"], "left").na.fill(0, ["degree", "triangles"])
+    mean = local.groupBy("seed").agg(F.avg(local_clustering(F.col("degree"), F.col("triangles"))).alias("clustering"))
     out = size.join(n_edges, "seed", "left").join(spread, "seed", "left").join(mean, "seed", "left").join(diameters(pairs), "seed", "left").na.fill(0, ["n_edges", "diameter"])
     n, big = F.col("n_nodes"), F.col("n_nodes") >= 3
     return out.select(
@@ -181,17 +185,39 @@ def topology(simple: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
-def diameters(pairs: DataFrame) -> DataFrame:
-    """(seed, diameter) of the undirected networks (seed, a, b). A two-hop network is no wider than four steps, so the distances up to three settle it."""
-    near = pairs.select("seed", "a", "b").unionByName(pairs.select("seed", F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = near.select("seed", "a").distinct()
-    one = near.withColumn("k", F.lit(1))
-    two = near.join(near.select("seed", F.col("a").alias("b"), F.col("b").alias("c")), ["seed", "b"]).select("seed", "a", F.col("c").alias("b")).distinct().withColumn("k", F.lit(2))
-    three = two.drop("k").join(near.select("seed", F.col("a").alias("b"), F.col("b").alias("c")), ["seed", "b"]).select("seed", "a", F.col("c").alias("b")).distinct().withColumn("k", F.lit(3))
-    best = one.unionByName(two).unionByName(three).where("a <> b").groupBy("seed", "a", "b").agg(F.min("k").alias("k"))
-    reached = best.groupBy("seed").agg(F.count("*").alias("n"), F.max("k").alias("k"))
-    total = nodes.groupBy("seed").agg(F.count("*").alias("v"))
-    return reached.join(total, "seed").select("seed", F.when(F.col("n") == F.col("v") * (F.col("v") - 1), F.col("k")).otherwise(4).alias("diameter"))
+def diameters(pairs: DataFrame, batch: int = 8) -> DataFrame:
+    """(seed, diameter) of undirected two-hop networks (seed, a, b) around their seeds, exact.
+
+    No vertex is more than two steps from its seed, so the diameter is at most four, and
+    between vertices next to the seed at most two: only vertices two steps away can widen
+    it. Their reach is searched in growing batches, those with few neighbours first, and a
+    network is done when one of them has some vertex four steps away or all are searched.
+    """
+    near = materialise(pairs.select("seed", "a", "b").unionByName(pairs.select("seed", F.col("b").alias("a"), F.col("a").alias("b"))))
+    degree = near.groupBy("seed", "a").agg(F.count("*").alias("d"))
+    total = degree.groupBy("seed").agg(F.count("*").alias("v"), F.sum("d").alias("e"))
+    first = near.where("a = seed").select("seed", F.col("b").alias("a"))
+    far = degree.where("a <> seed").join(first, ["seed", "a"], "left_anti")
+    order = W.partitionBy("seed").orderBy("d", "a")
+    far = materialise(far.withColumn("place", F.row_number().over(order)).select("seed", "a", "place"))
+    bound = materialise(total.join(far.groupBy("seed").agg(F.count("*").alias("f")), "seed", "left").na.fill(0, ["f"]).withColumn("k", F.when(F.col("e") == F.col("v") * (F.col("v") - 1), 1).otherwise(2)))
+    done = 0
+    while bound.where(f"k < 4 AND f > {done}").limit(1).count():
+        live = bound.where("k < 4").select("seed")
+        sources = far.where(f"place > {done} AND place <= {done + batch}").join(live, "seed", "left_semi").select("seed", F.col("a").alias("o"))
+        reach = sources.withColumn("a", F.col("o"))
+        counts = []
+        for step in range(3):
+            wider = reach.join(near, ["seed", "a"]).select("seed", "o", F.col("b").alias("a"))
+            reach = reach.unionByName(wider).distinct()
+            if step:
+                reach = materialise(reach)
+                counts.append(reach.groupBy("seed", "o").agg(F.count("*").alias(f"n{step}")))
+        each = counts[0].join(counts[1], ["seed", "o"]).join(total, "seed")
+        ecc = each.groupBy("seed").agg(F.max(F.when(F.col("n1") == F.col("v"), 2).when(F.col("n2") == F.col("v"), 3).otherwise(4)).alias("_k"))
+        bound = materialise(bound.join(ecc, "seed", "left").withColumn("k", F.greatest("k", F.coalesce("_k", "k"))).drop("_k"))
+        done, batch = done + batch, batch * 4
+    return bound.select("seed", F.col("k").alias("diameter"))
 
 
 def recent_share(edges: DataFrame, members: DataFrame, days: int = 7, reference: Column | None = None) -> DataFrame:
