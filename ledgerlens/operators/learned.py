@@ -30,20 +30,20 @@ def weighted(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def _prepared(features: list[str]) -> list:
     filled = [f"{c}_f" for c in features]
-    return [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="x")]
+    return [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_features")]
 
 
 def fit_trees(train: DataFrame, features: list[str], label: str = "label", trees: int = 20, depth: int = 5, most: int = MOST_ROWS) -> PipelineModel:
     rows = weighted(sample(train, most=most), label)
     rows = rows.select(label, "weight", *(F.col(c).cast("double").alias(c) for c in features))
-    model = GBTClassifier(featuresCol="x", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42)
+    model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42)
     return Pipeline(stages=[*_prepared(features), model]).fit(rows)
 
 
 def fit_linear(train: DataFrame, features: list[str], label: str = "label", most: int = MOST_ROWS) -> PipelineModel:
     rows = weighted(sample(train, most=most), label)
     rows = rows.select(label, "weight", *(F.col(c).cast("double").alias(c) for c in features))
-    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", maxIter=50, regParam=0.01)
+    model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=50, regParam=0.01)
     return Pipeline(stages=[*_prepared(features), model]).fit(rows)
 
 
@@ -51,7 +51,7 @@ def scored(model: PipelineModel, rows: DataFrame, features: list[str], out: str
     """rows with the model's probability of the positive class."""
     cast = rows.withColumns({c: F.col(c).cast("double") for c in features})
     done = model.transform(cast).withColumn(out, vector_to_array("probability")[1])
-    return done.drop("x", "rawPrediction", "probability", "prediction", *(f"{c}_f" for c in features))
+    return done.drop("_features", "rawPrediction", "probability", "prediction", *(f"{c}_f" for c in features))
 
 
 def stacked(train: DataFrame, features: list[str], label: str = "label", key: str = "row_index", folds: int = 3, configs: tuple[tuple[int, int], ...] = ((10, 3), (15, 4), (20, 5))):

@@ -83,9 +83,9 @@ _DATED = """dated AS (SELECT *, CASE WHEN regexp_matches("Date", '^[0-9]{4}-[0-9
   WHEN regexp_matches("Date", '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$') THEN CAST(try_strptime("Date", '%d/%m/%Y') AS DATE) END AS day FROM tx)"""
 _ROLES = f"""{_TX}, {_DATED}, ev AS (
   SELECT account_id, account_role, tx_code, count(*) AS n_tx, max(day) AS last_day, coalesce(sum(score), 0) AS score_total FROM (
-    SELECT Sender_account AS account_id, 'sender' AS account_role, upper(trim(tx_code)) AS tx_code, day, CASE WHEN tx_score BETWEEN 0 AND 1 AND NOT isnan(tx_score) THEN tx_score END AS score FROM dated
+    SELECT Sender_account AS account_id, 'sender' AS account_role, upper(trim(tx_code)) AS tx_code, day, CASE WHEN tx_score BETWEEN 0 AND 1 AND CAST(tx_score AS VARCHAR) <> 'nan' THEN tx_score END AS score FROM dated
     UNION ALL
-    SELECT Receiver_account, 'receiver', upper(trim(tx_code)), day, CASE WHEN tx_score BETWEEN 0 AND 1 AND NOT isnan(tx_score) THEN tx_score END FROM dated)
+    SELECT Receiver_account, 'receiver', upper(trim(tx_code)), day, CASE WHEN tx_score BETWEEN 0 AND 1 AND CAST(tx_score AS VARCHAR) <> 'nan' THEN tx_score END FROM dated)
   WHERE account_id IS NOT NULL AND tx_code IS NOT NULL AND tx_code <> '' AND day IS NOT NULL GROUP BY 1, 2, 3)"""
 _DAYS = f"""{_TX}, {_DATED}, d AS (
   SELECT Sender_account, day, sum(CASE WHEN amount_local_npr IS NULL OR isnan(amount_local_npr) THEN 0 ELSE amount_local_npr END) AS total, count(*) AS n

@@ -76,10 +76,10 @@ TX_SQL = """tx AS (SELECT row_index,
   CASE WHEN regexp_matches("Time", '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$') THEN "Time" END AS tm,
   Sender_account AS s, Receiver_account AS r, CASE WHEN NOT isnan(amount_local_npr) THEN amount_local_npr END AS amount,
   coalesce(cross_border_flag, 0) AS cross_border_flag, coalesce(is_suspicious_tx, 0) AS label,
-  CASE WHEN tx_score BETWEEN 0 AND 1 AND NOT isnan(tx_score) THEN tx_score END AS score
+  CASE WHEN tx_score BETWEEN 0 AND 1 AND CAST(tx_score AS VARCHAR) <> 'nan' THEN tx_score END AS score
   FROM (SELECT DISTINCT ON (row_index) * FROM transactions))"""
 EDGE_SQL = """e AS (SELECT Sender_account AS src, Receiver_account AS dst,
   greatest(CASE WHEN amount_local_npr IS NULL OR isnan(amount_local_npr) THEN 0e0 ELSE amount_local_npr END, 0e0) AS amount, CAST("Date" AS DATE) AS day, "Date" AS moment
   FROM graph_edges WHERE Sender_account IS NOT NULL AND Receiver_account IS NOT NULL AND "Date" IS NOT NULL)"""
 FEEDBACK_SQL = """fb AS (SELECT path_id, "timestamp" AS ts, account_id, score, CAST(label AS INTEGER) AS label FROM feedback
-  WHERE label IS NOT NULL AND path_id IS NOT NULL AND "timestamp" IS NOT NULL AND score BETWEEN 0 AND 1 AND NOT isnan(score))"""
+  WHERE label IS NOT NULL AND path_id IS NOT NULL AND "timestamp" IS NOT NULL AND score BETWEEN 0 AND 1 AND CAST(score AS VARCHAR) <> 'nan')"""
