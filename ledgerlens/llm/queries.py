@@ -80,7 +80,7 @@ QUERIES = {
 
 _RANKED = """WITH tx AS (SELECT DISTINCT ON (row_index) * FROM transactions),
 r AS (SELECT Sender_account, row_index, tx_score, row_number() OVER (PARTITION BY Sender_account ORDER BY tx_score DESC, row_index) AS rank
-FROM tx WHERE Sender_account IS NOT NULL AND tx_score BETWEEN 0 AND 1 AND NOT isnan(tx_score))"""
+FROM tx WHERE Sender_account IS NOT NULL AND tx_score BETWEEN 0 AND 1 AND CAST(tx_score AS VARCHAR) <> 'nan')"""
 
 ORACLES = {
     "p2_found": f"{_RANKED} SELECT Sender_account, row_index FROM r WHERE rank <= 5",
