@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.tables import valid_date
-
 SALTS = 16
 #: More types than this would make the row per entity unbounded.
 MOST_TYPES = 10_000
@@ -33,11 +31,11 @@ def clean_score(column: str):
 def role_events(tx: DataFrame) -> DataFrame:
     """(row_index, account_id, account_role, tx_code, day, score): each transaction once for its sender and once for its receiver.
 
-    Transactions without a valid Date or a tx_code do not count, nor does a NULL account.
+    Transactions without a day or a tx_code do not count, nor does a NULL account.
     """
     clean = tx.select(
         "row_index", "Sender_account", "Receiver_account", normal_code("tx_code").alias("tx_code"),
-        valid_date("Date").alias("day"), clean_score("tx_score").alias("score"),
+        "day", clean_score("tx_score").alias("score"),
     ).where("day IS NOT NULL AND tx_code IS NOT NULL")
     roles = F.array(
         F.struct(F.lit("sender").alias("account_role"), F.col("Sender_account").alias("account_id")),

@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.tables import valid_date
-
 SHARD = 64
 PERIODS = (7, 30)
 TREE_SCHEMA = "entity bigint, shard int, sums array<double>, counts array<bigint>"
@@ -25,10 +23,10 @@ ROLLING_SCHEMA = "entity bigint, day int, " + ", ".join(f"total_{k} double, avg_
 
 
 def daily(tx: DataFrame) -> DataFrame:
-    """(entity, day, total, n): day as days since 1970. NULL senders and rows without a valid Date do not count; a NULL or NaN amount adds 0 but makes its day active."""
+    """(entity, day, total, n) of distinct transactions: day as days since 1970. NULL senders and rows without a day do not count; a NULL or NaN amount adds 0 but makes its day active."""
     amount = F.coalesce(F.nanvl("amount_local_npr", F.lit(0.0)), F.lit(0.0))
     return (
-        tx.select(F.col("Sender_account").alias("entity"), F.unix_date(valid_date("Date")).alias("day"), amount.alias("amount"))
+        tx.select(F.col("Sender_account").alias("entity"), F.unix_date("day").alias("day"), amount.alias("amount"))
         .where("entity IS NOT NULL AND day IS NOT NULL")
         .groupBy("entity", "day")
         .agg(F.sum("amount").alias("total"), F.count("*").alias("n"))

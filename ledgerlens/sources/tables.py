@@ -23,7 +23,9 @@ def distinct_transactions(df: DataFrame, *columns: str) -> DataFrame:
     """One row for each ``row_index``; repeated deliveries differ only in ``ingested_at``.
 
     The exchange is on ``row_index``, so the resulting splits are equally large whatever
-    accounts the rows belong to. Only the columns named travel. A row without a row_index
-    is no transaction and is left out.
+    accounts the rows belong to. Only the columns named travel, and Date travels as the
+    date ``day``, which hash aggregation can hold. A row without a row_index is no
+    transaction and is left out.
     """
-    return df.select("row_index", *columns).where(F.col("row_index").isNotNull()).dropDuplicates(["row_index"])
+    kept = [valid_date("Date").alias("day") if c == "Date" else F.col(c) for c in columns]
+    return df.select("row_index", *kept).where(F.col("row_index").isNotNull()).dropDuplicates(["row_index"])

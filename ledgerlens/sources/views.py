@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.sources.tables import distinct_transactions, table, valid_date
+from ledgerlens.sources.tables import distinct_transactions, table
 
 ACCOUNT_SCHEMA = T.StructType([
     T.StructField("account_id", T.LongType()), T.StructField("account_number", T.StringType()), T.StructField("name", T.StringType()),
@@ -46,7 +46,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         "cross_border_flag", "tx_score", "is_suspicious_tx",
     )
     return raw.select(
-        "row_index", valid_date("Date").alias("day"), valid_time().alias("tm"), F.col("Sender_account").alias("s"), F.col("Receiver_account").alias("r"),
+        "row_index", "day", valid_time().alias("tm"), F.col("Sender_account").alias("s"), F.col("Receiver_account").alias("r"),
         number("amount_local_npr").alias("amount"), F.coalesce("cross_border_flag", F.lit(0)).alias("cross_border_flag"),
         F.coalesce("is_suspicious_tx", F.lit(0)).alias("label"), F.when(F.col("tx_score").between(0.0, 1.0), F.col("tx_score")).alias("score"),
     )

@@ -94,7 +94,7 @@ def brute_types(data):
 
 
 def test_entity_features(spark, data):
-    events = entity_features.role_events(tx(spark, data, "Date", "Sender_account", "Receiver_account", "tx_code", "tx_score", "side", "day"))
+    events = entity_features.role_events(tx(spark, data, "Date", "Sender_account", "Receiver_account", "tx_code", "tx_score", "side"))
     want = brute_types(data)
     got = {tuple(r[:3]): [r[3], r[4], round(r[5], 6)] for r in entity_features.entity_type_stats(events, 3).collect()}
     assert got == {k: [a, b, round(c, 6)] for k, (a, b, c) in want.items()}
