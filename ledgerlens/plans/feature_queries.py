@@ -48,7 +48,7 @@ def temporal_split(spark, folder):
 def split_audit(spark, folder):
     """Range of days, rows, labels and accounts of each split, and the accounts it shares with train."""
     tx = f.temporal_split(transactions(spark, folder))
-    stats = tx.groupBy("split").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_tx"), F.sum("label").alias("n_labelled"), F.round(F.avg("label"), 6).alias("label_share"))
+    stats = tx.groupBy("split").agg(F.date_format(F.min("day"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_day"), F.count("*").alias("n_tx"), F.sum("label").alias("n_labelled"), F.round(F.avg("label"), 6).alias("label_share"))
     members = tx.select("split", F.explode(F.array("s", "r")).alias("a")).where("a IS NOT NULL").distinct()
     seen = members.where("split = 'train'").select("a", F.lit(1).alias("seen"))
     counts = members.join(seen, "a", "left").groupBy("split").agg(F.count("*").alias("n_accounts"), F.count("seen").alias("n_in_train"))
@@ -117,7 +117,7 @@ SELECT row_index, round((amount - m) / d, 6) AS amount_zscore_sender FROM tx LEF
 FROM tx LEFT JOIN rates a ON s = a.account_id LEFT JOIN rates b ON r = b.account_id""",
     "temporal_split": f"WITH {TX_SQL}, {SPLIT_SQL} SELECT row_index, split FROM sp",
     "split_audit": f"""WITH {TX_SQL}, {SPLIT_SQL}, m AS (SELECT DISTINCT split, unnest([s, r]) AS a FROM sp), k AS (SELECT split, count(*) AS n_accounts, count(*) FILTER (a IN (SELECT a FROM m WHERE split = 'train' AND a IS NOT NULL)) AS n_in_train FROM m WHERE a IS NOT NULL GROUP BY 1)
-SELECT split, min(day) AS first_day, max(day) AS last_day, count(*) AS n_tx, CAST(sum(label) AS BIGINT) AS n_labelled, round(avg(label), 6) AS label_share, any_value(n_accounts) AS n_accounts, any_value(n_in_train) AS n_in_train
+SELECT split, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS n_tx, CAST(sum(label) AS BIGINT) AS n_labelled, round(avg(label), 6) AS label_share, any_value(n_accounts) AS n_accounts, any_value(n_in_train) AS n_in_train
 FROM sp JOIN k USING (split) GROUP BY 1""",
     "graph_cutoff_edges": f"""WITH {TX_SQL}, {SPLIT_SQL}, k AS (SELECT * FROM sp WHERE day IS NOT NULL AND tm IS NOT NULL AND s IS NOT NULL AND r IS NOT NULL),
 c AS (SELECT day AS d, tm AS t FROM k WHERE split = 'train' ORDER BY day DESC, tm DESC LIMIT 1)

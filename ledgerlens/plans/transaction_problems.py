@@ -47,7 +47,9 @@ def p4_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The long form of p4_features without the empty cells."""
-    return entity_type_stats(_role_events(spark, folder)).withColumn("score_total", F.round("score_total", 4))
+    return entity_type_stats(_role_events(spark, folder)).select(
+        "account_id", "account_role", "tx_code", "n_tx", F.date_format("last_day", "yyyy-MM-dd").alias("last_day"), F.round("score_total", 4).alias("score_total")
+    )
 
 
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +66,7 @@ def p5_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """Trailing 7- and 30-day totals, averages and counts for every sender and day."""
     rolled = rolling_totals(_daily(spark, folder))
     rounded = [c for k in (7, 30) for c in (F.round(f"total_{k}", 2).alias(f"total_{k}"), F.round(F.round(f"total_{k}", 2) / k, 4).alias(f"avg_{k}"))]
-    return rolled.select(F.col("entity").alias("Sender_account"), "day", *rounded, "n_7", "n_30")
+    return rolled.select(F.col("entity").alias("Sender_account"), F.date_format("day", "yyyy-MM-dd").alias("day"), *rounded, "n_7", "n_30")
 
 
 def p5_trees(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,9 +107,9 @@ SELECT side, account_id FROM k WHERE account_id IS NOT NULL GROUP BY 1, 2 HAVING
 SELECT side, account_id, count(*) AS n_tx, round(sum(CASE WHEN a IS NULL OR isnan(a) THEN 0 ELSE a END), 2) AS total_amount FROM k WHERE account_id IS NOT NULL GROUP BY 1, 2""",
     "p4_found": f"""WITH {_ROLES} SELECT account_id, account_role, tx_code FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id, account_role ORDER BY n_tx DESC, last_day DESC, tx_code) AS rn FROM ev) WHERE rn = 1""",
-    "p4_feature_rows": f"WITH {_ROLES} SELECT account_id, account_role, tx_code, n_tx, last_day, round(score_total, 4) AS score_total FROM ev",
+    "p4_feature_rows": f"WITH {_ROLES} SELECT account_id, account_role, tx_code, n_tx, strftime(last_day, '%Y-%m-%d') AS last_day, round(score_total, 4) AS score_total FROM ev",
     "p5_found": f"""WITH {_DAYS}, best AS (SELECT Sender_account, day, total_30, n_7, max(total_30) OVER (PARTITION BY Sender_account) AS most FROM rolled)
 SELECT Sender_account, strftime(min(day), '%Y-%m-%d') AS day, 'peak_30' AS day_kind FROM best WHERE total_30 = most GROUP BY 1
 UNION ALL SELECT Sender_account, strftime(min(day), '%Y-%m-%d'), 'lapse_7' FROM best WHERE n_7 = 0 GROUP BY 1""",
-    "p5_rolling": f"WITH {_DAYS} SELECT Sender_account, day, total_7, avg_7, total_30, avg_30, n_7, n_30 FROM rolled",
+    "p5_rolling": f"WITH {_DAYS} SELECT Sender_account, strftime(day, '%Y-%m-%d') AS day, total_7, avg_7, total_30, avg_30, n_7, n_30 FROM rolled",
 }

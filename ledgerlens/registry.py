@@ -10,6 +10,7 @@ _CORE = (
     "ledgerlens.plans.graph_queries",
     "ledgerlens.plans.risk_queries",
     "ledgerlens.plans.report_queries",
+    "ledgerlens.plans.study_queries",
 )
 
 
