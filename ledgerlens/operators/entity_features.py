@@ -9,6 +9,10 @@ list of types.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,32 +72,62 @@ def most_frequent_type(stats: DataFrame) -> DataFrame:
     return stats.groupBy("account_id", "account_role").agg(best.alias("tx_code"))
 
 
+ROLES = ("sender", "receiver")
+
+
+def _laid_out(codes: list[str]):
+    """Sorted rows of (account_id, cell, n, day, total) to one row per account with dense arrays, a cell being role and type."""
+    width = len(codes)
+    kinds = {"n": pa.int64(), "last": pa.date32(), "score": pa.float64()}
+    fields = [pa.field("account_id", pa.int64())] + [pa.field(f"{r}_{k}", pa.list_(t)) for r in ROLES for k, t in kinds.items()]
+    schema = pa.schema(fields)
+
+    def block(account: np.ndarray, cell: np.ndarray, n: np.ndarray, day: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        ids, row = np.unique(account, return_inverse=True)
+        at = row * (2 * width) + cell
+        size = len(ids) * 2 * width
+        dense = {"n": np.zeros(size, np.int64), "last": np.zeros(size, np.int32), "score": np.zeros(size)}
+        for k, x in (("n", n), ("last", day), ("score", total)):
+            dense[k][at] = x
+        quiet = (dense["n"] == 0).reshape(len(ids), 2, width)
+        offsets = pa.array(np.arange(0, len(ids) * width + 1, width, dtype=np.int32))
+        out = [pa.array(ids)]
+        for r in range(2):
+            for k, t in kinds.items():
+                values = dense[k].reshape(len(ids), 2, width)[:, r].ravel()
+                mask = quiet[:, r].ravel() if k == "last" else None
+                out.append(pa.ListArray.from_arrays(offsets, pa.array(values, mask=mask).cast(t)))
+        return pa.RecordBatch.from_arrays(out, schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.float64)]
+        for batch in batches:
+            new = [c.cast(pa.int32()).to_numpy(zero_copy_only=False) if pa.types.is_date(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) > 40_000:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield block(*(x[:cut] for x in held))
+                    held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield block(*held)
+
+    return run, "account_id bigint, " + ", ".join(f"{r}_n array<bigint>, {r}_last array<date>, {r}_score array<double>" for r in ROLES)
+
+
 def feature_table(events: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per account with arrays over the complete, sorted list of types.
 
     Columns: account_id, tx_codes, and for each role ``<role>_n`` (0 where nothing
     happened), ``<role>_last`` (NULL where nothing happened) and ``<role>_score`` (0.0
-    likewise). An input without valid events gives no rows.
+    likewise). An input without valid events gives no rows. The rows of an account that are
+    laid out together are at most two for each type.
     """
     codes = [r[0] for r in events.select("tx_code").distinct().orderBy("tx_code").limit(MOST_TYPES + 1).collect()]
     if len(codes) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} event types: use entity_type_stats, its long form")
-    stats = entity_type_stats(events, salts)
-    key = F.concat_ws("\u0001", "account_role", "tx_code")
-    wide = stats.groupBy("account_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(key, F.struct("n_tx", "last_day", "score_total")))).alias("m")
-    )
     every = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
-
-    def lay(role: str, field: str, default):
-        return F.transform(F.col("tx_codes"), lambda c: F.coalesce(F.try_element_at(F.col("m"), F.concat(F.lit(role + "\u0001"), c))[field], default))
-
-    wide = wide.withColumn("tx_codes", every)
-    columns = []
-    for role in ("sender", "receiver"):
-        columns += [
-            lay(role, "n_tx", F.lit(0).cast("bigint")).alias(f"{role}_n"),
-            lay(role, "last_day", F.lit(None).cast("date")).alias(f"{role}_last"),
-            lay(role, "score_total", F.lit(0.0)).alias(f"{role}_score"),
-        ]
-    return wide.select("account_id", "tx_codes", *columns)
+    cell = F.array_position(every, F.col("tx_code")) - 1 + F.when(F.col("account_role") == ROLES[1], len(codes)).otherwise(0)
+    cells = entity_type_stats(events, salts).select("account_id", cell.alias("cell"), "n_tx", "last_day", "score_total").sortWithinPartitions("account_id")
+    run, schema = _laid_out(codes)
+    return cells.mapInArrow(run, schema).select("account_id", every.alias("tx_codes"), *(f"{r}_{k}" for r in ROLES for k in ("n", "last", "score")))
