@@ -28,11 +28,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is chosen.
+    is unset, and on one machine, as in tests, a temporary folder is chosen.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
     return df.checkpoint(eager=True)
