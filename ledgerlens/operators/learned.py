@@ -68,6 +68,16 @@ def stacked(train: DataFrame, features: list[str], label: str = "label", key: st
     return [fit_trees(rows, features, label, t, d) for t, d in configs], fit_linear(out.select(key, label, *names), names, label)
 
 
+def load_or_fit(path: str, fit) -> PipelineModel:
+    """The model kept at a path, or ``fit()`` saved there first."""
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001 - a missing or unreadable model is fitted anew
+        model = fit()
+        model.write().overwrite().save(path)
+        return model
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     """Features with the model's gain, highest first."""
     return sorted(zip(features, map(float, model.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))

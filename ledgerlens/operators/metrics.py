@@ -81,3 +81,12 @@ def map_difference(one: DataFrame, other: DataFrame, key: str = "id", outer: boo
     both = one.select(key, F.col("value").alias("a")).join(other.select(key, F.col("value").alias("b")), key, "full_outer" if outer else "inner").na.fill(0.0, ["a", "b"])
     gap = F.abs(F.col("a") - F.col("b"))
     return both.agg(F.count("*").alias("n"), F.avg(gap).alias("mean_abs"), F.avg(F.when(F.col("b") != 0, gap / F.abs(F.when(F.col("b") != 0, F.col("b"))) * 100).otherwise(0.0)).alias("mean_abs_pct"))
+
+
+def improvement(before: DataFrame, after: DataFrame, metric: str, least: float = 0.10) -> DataFrame:
+    """One row (metric, before, after, gain, relative, enough) from two one-row tables of ``at_k``: relative is infinite, or 0 without a gain, where the first is 0."""
+    b, a = before.select(metric).scalar(), after.select(metric).scalar()
+    both = before.sparkSession.range(1).select(F.lit(metric).alias("metric"), b.cast("double").alias("before"), a.cast("double").alias("after"))
+    gain = F.col("after") - F.col("before")
+    relative = F.when(F.col("before") != 0, gain / F.when(F.col("before") != 0, F.col("before"))).when(gain > 0, F.lit(math.inf)).otherwise(0.0)
+    return both.withColumn("gain", gain).withColumn("relative", relative).withColumn("enough", F.col("relative") >= least)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import features, flow, fusion, graph, learned, metrics, network, neural, paths, risk
 from ledgerlens.plans.feature_queries import VELOCITY_SQL
 from ledgerlens.plans.graph_queries import HALF_LIFE, SIMPLE_SQL
-from ledgerlens.plans.risk_queries import K, RISK_SQL, SHARE_RULES
+from ledgerlens.plans.risk_queries import K, RISK_SQL, SHARE_RULES, TX_RULES
 from ledgerlens.session import materialise
 from ledgerlens.sources.views import EDGE_SQL, FEEDBACK_SQL, TX_SQL, accounts, edges, feedback, transactions
 
@@ -129,9 +129,42 @@ def network_weights(spark, folder):
     return out.select("id", *(F.round(F.col("w")[i], 6).alias(n) for i, n in enumerate(fusion.NAMES)), F.round("penalty", 6).alias("penalty"))
 
 
+def adaptive_fusion(spark, folder):
+    """Each transaction's score, its sender's place in the graph and its rule points, weighted by how isolated the sender is; static weights where the sender is not in the graph."""
+    simple = materialise(graph.last_edges(edges(spark, folder)))
+    d = graph.degrees(simple)
+    n = F.col("in_degree") + F.col("out_degree")
+    raised = d.withColumn("w", fusion.isolated(fusion.pack(F.lit(0.5), F.lit(0.3), F.lit(0.2)), 1 / (1 + n)))
+    held = raised.withColumn("w", fusion.floored(F.col("w"), n)).join(flow.pagerank(simple.withColumnRenamed("amount", "weight"), rounds=5), "id")
+    vertex = fusion.minmax(materialise(held.select("id", "w", "rank")), "rank", "place").select("id", "w", "place")
+    tx = fusion.apply_rules(features.behaviour(transactions(spark, folder)), TX_RULES)
+    joined = tx.join(vertex.withColumnRenamed("id", "s"), "s", "left")
+    fused = fusion.fuse_three(F.col("w"), F.coalesce("score", F.lit(0.0)), F.coalesce("place", F.lit(0.0)), fusion.rule_bump(F.col("points")))
+    return joined.select("row_index", F.round(fused, 6).alias("fused"), F.round(risk.confidence(F.coalesce("score", F.lit(0.0))), 6).alias("confidence"))
+
+
+def fusion_gain(spark, folder):
+    """Precision of the weighted scores over that of the scores alone."""
+    done = materialise(adaptive_fusion(spark, folder))
+    rows = materialise(transactions(spark, folder).select("row_index", "label", "score").where("score IS NOT NULL").join(done, "row_index"))
+    return metrics.improvement(metrics.at_k(rows, K, "score"), metrics.at_k(rows, K, "fused"), "precision").select("metric", *_r("before", "after", "gain"), "enough")
+
+
+def risk_pipeline(spark, folder):
+    """From the tables to banded accounts: features, trees fitted on the training split, the test split scored and raised by rules, accounts aggregated, named and ranked."""
+    tx = materialise(features.temporal_split(features.temporal(features.behaviour(transactions(spark, folder)))))
+    names = [*BASE, "tx_count_30", "velocity_sum_10tx"]
+    model = learned.fit_trees(tx.where("split = 'train'"), names, trees=8, depth=4)
+    scored = fusion.apply_rules(learned.scored(model, tx.where("split = 'test'"), names), TX_RULES)
+    fused = materialise(scored.select("row_index", "s", "r", "day", fusion.fuse(F.col("model_score"), points=F.col("points")).alias("score")))
+    banded = risk.priority_bands(materialise(risk.account_risk(fused)))
+    held = features.one_per_key(accounts(spark, folder), "account_id").select("account_id", "name", "institution")
+    return banded.join(held, "account_id", "left").select("account_id", "name", "institution", "priority", "tx_count", *_r("risk_recent_weighted"))
+
+
 QUERIES = {x.__name__: x for x in (
     holder_flags, heterogeneous_sizes, node_features, busiest_subgraph, latest_transactions, graph_assertions, recent_ego_share, threat_landscape, rule_study, ablation,
-    account_explanations, path_selection, network_weights,
+    account_explanations, path_selection, network_weights, adaptive_fusion, fusion_gain, risk_pipeline,
 )}
 
 

@@ -159,3 +159,28 @@ def test_learned(spark):
     assert all(a["calibrated"] <= b["calibrated"] + 1e-12 for a, b in zip(done, done[1:]))
     models, meta = learned.stacked(df, ["x", "y"], folds=2, configs=((2, 2), (2, 3)))
     assert len(models) == 2 and len(meta.stages[-1].coefficients) == 2
+
+
+def test_moving_reference(spark):
+    df = spark.createDataFrame([([[0.5, 0.5], [1.0, 0.0], [0.0, 1.0]],), ([[0.2, 0.8]],)], "h array<array<double>>")
+    got = [list(r[0]) for r in df.select(drift.moving_reference(F.col("h"), 0.5)).collect()]
+    assert got == [pytest.approx([0.375, 0.625]), pytest.approx([0.2, 0.8])]
+
+
+def test_watermarked_variant(spark, tmp_path):
+    at = datetime.datetime(2025, 1, 1)
+    rows = [("full", at, 0.5, 1, "f", 0), ("full", at + datetime.timedelta(days=1), 0.5, 0, "f", 1), ("full", at + datetime.timedelta(days=3), 0.5, 0, "f", 2)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = fb.with_late_bound(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["n"], r["share"]) for r in spark.sql("SELECT * FROM late").collect()) == [(1, 0.0), (1, 1.0)]
+
+
+def test_kept_model(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(40)], "row_index bigint, x double, label int")
+    made = []
+    fit = lambda: made.append(1) or learned.fit_linear(df, ["x"])
+    a = learned.load_or_fit(str(tmp_path / "m"), fit)
+    b = learned.load_or_fit(str(tmp_path / "m"), fit)
+    assert made == [1] and a.stages[-1].coefficients == b.stages[-1].coefficients
