@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 GRADES = {"RISK-LOW": 1, "RISK-MED": 2, "RISK-HIGH": 3}
 THRESHOLDS = (100_000, 500_000, 1_000_000)
 VELOCITY_ROWS = 10
+#: Rows of one stretch of row_index.
+SHARD_ROWS = 1 << 16
 #: Most burst ratio told apart.
 MOST_BURST = 100.0
 LEAKY = ("sender_account_age_days", "receiver_account_age_days", "tx_count_30")
@@ -71,12 +73,20 @@ def pair_features(tx: DataFrame) -> DataFrame:
     """pair_tx_sequence (from 0, by row_index), pair_total_txs (amounts that are there), pair_amount_deviation, is_one_shot_pair.
 
     Rows without a sender or receiver belong to no pair and get NULL, but 0 for the flag.
+    Sequences are counted in stretches of row_index, so a pair of any size is many tasks.
     """
-    stats = tx.where("s IS NOT NULL AND r IS NOT NULL").groupBy("s", "r").agg(F.count("amount").alias("pair_total_txs"), F.avg("amount").alias("_mean"))
-    order = W.partitionBy("s", "r").orderBy("row_index")
-    known = F.col("s").isNotNull() & F.col("r").isNotNull()
+    pairs = tx.where("s IS NOT NULL AND r IS NOT NULL").withColumn("_h", F.floor(F.col("row_index") / SHARD_ROWS))
+    stats = pairs.groupBy("s", "r").agg(F.count("amount").alias("pair_total_txs"), F.avg("amount").alias("_mean"))
+    shards = pairs.groupBy("s", "r", "_h").agg(F.count("*").alias("_c"))
+    earlier = F.sum("_c").over(W.partitionBy("s", "r").orderBy("_h").rowsBetween(W.unboundedPreceding, -1))
+    shards = shards.select("s", "r", "_h", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("s", "r", "_h").orderBy("row_index"))
     return (
-        tx.withColumn("pair_tx_sequence", F.when(known, F.row_number().over(order) - 1))
+        tx.withColumn("_h", F.floor(F.col("row_index") / SHARD_ROWS))
+        .withColumn("_own", own)
+        .join(shards, ["s", "r", "_h"], "left")
+        .withColumn("pair_tx_sequence", (F.col("_before") + F.col("_own") - 1).cast("int"))
+        .drop("_h", "_own", "_before")
         .join(stats, ["s", "r"], "left")
         .withColumn("pair_amount_deviation", F.abs(F.col("amount") - F.col("_mean")))
         .withColumn("is_one_shot_pair", F.coalesce(F.col("pair_total_txs") == 1, F.lit(False)).cast("int"))
@@ -172,21 +182,22 @@ def training_rows(tx: DataFrame, accounts: DataFrame, graph: DataFrame | None =
 def temporal_split(tx: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """split: rows by (day, tm, row_index), cut at the shares' row numbers; rows without a day come last.
 
-    Row numbers are global but no task sorts all rows: rows are counted per day and hour
-    first, and numbered within their day and hour.
+    Row numbers are global but no task sorts all rows: rows are counted per day and hour,
+    inside an hour per time and stretch of row_index, and numbered inside that.
     """
-    slot = F.coalesce(F.substring("tm", 1, 2), F.lit("~"))
-    slotted = tx.withColumn("_slot", slot)
-    counts = slotted.groupBy("day", "_slot").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(W.orderBy(F.col("day").asc_nulls_last(), "_slot").rowsBetween(W.unboundedPreceding, -1))  # a row per hour
-    offsets = counts.select("day", "_slot", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    inside = F.row_number().over(W.partitionBy("day", "_slot").orderBy(F.col("tm").asc_nulls_last(), "row_index"))
-    joined = slotted.alias("a").withColumn("_in", inside).join(
-        offsets.withColumnsRenamed({"day": "_d", "_slot": "_s"}), F.col("day").eqNullSafe(F.col("_d")) & (F.col("_slot") == F.col("_s"))
-    )
-    at = F.col("_before") + F.col("_in") - 1
+    day, tm = F.coalesce(F.unix_date("day"), F.lit(2**31 - 1)), F.coalesce("tm", F.lit("~"))
+    placed = tx.withColumns({"_d": day, "_t": tm, "_s": F.substring(tm, 1, 2), "_h": F.floor(F.col("row_index") / SHARD_ROWS)})
+    parts = placed.groupBy("_d", "_s", "_t", "_h").agg(F.count("*").alias("_c"))
+    hours = parts.groupBy("_d", "_s").agg(F.sum("_c").alias("_c"))
+    hours = hours.select("_d", "_s", F.coalesce(F.sum("_c").over(W.orderBy("_d", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b0"), F.sum("_c").over(W.partitionBy()).alias("_all"))  # a row per hour
+    inner = F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s").orderBy("_t", "_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_b1", inner).join(hours, ["_d", "_s"]).drop("_c")
+    own = F.row_number().over(W.partitionBy("_d", "_s", "_t", "_h").orderBy("row_index"))
+    joined = placed.withColumn("_in", own).join(parts, ["_d", "_s", "_t", "_h"])
+    at = F.col("_b0") + F.col("_b1") + F.col("_in") - 1
     cut_1, cut_2 = F.floor(F.col("_all") * F.lit(float(train))), F.floor(F.col("_all") * F.lit(train + validation))
-    return joined.withColumn("split", F.when(at < cut_1, "train").when(at < cut_2, "validation").otherwise("test")).drop("_slot", "_in", "_d", "_s", "_before", "_all")
+    split = F.when(at < cut_1, "train").when(at < cut_2, "validation").otherwise("test")
+    return joined.withColumn("split", split).select(*tx.columns, "split")
 
 
 def until(edges: DataFrame, day: Column, time: Column | None = None) -> DataFrame:

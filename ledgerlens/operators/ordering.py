@@ -8,37 +8,49 @@ results are exact whatever they are.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 128
 
 
+def _below(cuts: list[float], x) -> Column:
+    """How many of the sorted cuts lie below x; NULL lies below all."""
+    return F.when(x.isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c < x)))
+
+
 def in_order(df: DataFrame, value: str, key: str, sums: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """df with _rank (from 1) and _n by ``value`` (double) upwards, ties by the unique ``key``; sums: new column -> column to add up to and with the row.
+    """df with _rank (from 1) and _n by ``value`` (double) upwards, ties by the unique numeric ``key``; sums: new column -> column to add up to and with the row.
 
-    NULL values come first. An empty input comes out empty.
+    NULL values come first. A value that several cuts fall on has a bucket of its own, and
+    that is split by the key, so a third of all rows may share one value. An empty input
+    comes out empty.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0]
-    bucket = F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts)) if cuts else [0.0]), lambda c: c < F.col(value))), F.lit(-1))
-    placed = df.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(bucket))
+    shares = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(value, shares, 1000), F.percentile_approx(F.col(key).cast("double"), shares, 1000), F.avg(F.col(value).isNull().cast("double"))).first()
+    cuts, by_key = (sorted(set(x)) if x else [0.0] for x in found[:2])
+    heavy = [v for v, n in Counter(found[0] or []).items() if n > 1]
+    v, k = F.col(value), F.col(key).cast("double")
+    own_bucket = (v.isNull() & F.lit((found[2] or 0) > 2 / buckets)) | F.coalesce(v.isin(heavy) if heavy else F.lit(False), F.lit(False))
+    placed = df.withColumn("_io_bucket", 2 * _below(cuts, v) + own_bucket.cast("int")).withColumn("_io_part", F.when(own_bucket, _below(by_key, k)).otherwise(0))
     sums = sums or {}
-    held = placed.groupBy("_b").agg(F.count("*").alias("_c"), *(F.sum(c).alias(f"_s_{name}") for name, c in sums.items()))
-    below = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    held = placed.groupBy("_io_bucket", "_io_part").agg(F.count("*").alias("_io_rows"), *(F.sum(c).alias(f"_io_sum_{name}") for name, c in sums.items()))
+    below = W.orderBy("_io_bucket", "_io_part").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
     offsets = held.select(
-        "_b", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_n"),
-        *(F.coalesce(F.sum(f"_s_{name}").over(below), F.lit(0)).alias(f"_s_{name}") for name in sums),
+        "_io_bucket", "_io_part", F.coalesce(F.sum("_io_rows").over(below), F.lit(0)).alias("_io_before"), F.sum("_io_rows").over(W.partitionBy()).alias("_n"),
+        *(F.coalesce(F.sum(f"_io_sum_{name}").over(below), F.lit(0)).alias(f"_io_sum_{name}") for name in sums),
     )
-    own = W.partitionBy("_b").orderBy(F.col(value).asc_nulls_first(), key)
-    out = placed.withColumn("_in", F.row_number().over(own))
+    own = W.partitionBy("_io_bucket", "_io_part").orderBy(v.asc_nulls_first(), key)
+    out = placed.withColumn("_io_own", F.row_number().over(own))
     for name, c in sums.items():
         out = out.withColumn(name, F.sum(c).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.join(F.broadcast(offsets), "_b").withColumn("_rank", F.col("_before") + F.col("_in"))  # at most `buckets` + 1 rows
+    out = out.join(F.broadcast(offsets), ["_io_bucket", "_io_part"]).withColumn("_rank", F.col("_io_before") + F.col("_io_own"))  # at most 2 * buckets * buckets short rows
     for name in sums:
-        out = out.withColumn(name, F.col(name) + F.col(f"_s_{name}"))
-    return out.drop("_b", "_before", "_in", *(f"_s_{name}" for name in sums))
+        out = out.withColumn(name, F.col(name) + F.col(f"_io_sum_{name}"))
+    return out.drop("_io_bucket", "_io_part", "_io_before", "_io_own", *(f"_io_sum_{name}" for name in sums))
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
