@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.dense_totals import dense_key_totals, heavy_keys
 from ledgerlens.operators.entity_features import entity_type_stats, feature_table, most_frequent_type, role_events
-from ledgerlens.operators.rolling import daily, peaks_and_lapses, rolling_totals, segment_trees
+from ledgerlens.operators.rolling import correct, daily, peaks_and_lapses, rolling_totals, segment_trees
 from ledgerlens.session import materialise
 from ledgerlens.sources.tables import distinct_transactions, table
 
@@ -74,8 +74,17 @@ def p5_trees(spark: SparkSession, folder: str) -> DataFrame:
     return segment_trees(_daily(spark, folder))
 
 
+def p5_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals per sender from the trees' roots, after transactions that arrived more than a week late were added as corrections."""
+    tx = _tx(spark, folder, "Date", "Sender_account", "amount_local_npr", "ingested_at")
+    late = F.coalesce(F.datediff("ingested_at", "day") > 7, F.lit(False))
+    trees = correct(segment_trees(daily(tx.where(~late))), daily(tx.where(late)))
+    roots = trees.select("entity", F.element_at("sums", 2).alias("total"), F.element_at("counts", 2).alias("n"))  # node 1
+    return roots.groupBy(F.col("entity").alias("Sender_account")).agg(F.round(F.sum("total"), 2).alias("total"), F.sum("n").alias("n"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_account_totals": p1_account_totals,
+    "p5_corrected": p5_corrected, "p1_found": p1_found, "p1_account_totals": p1_account_totals,
     "p4_found": p4_found, "p4_features": p4_features, "p4_feature_rows": p4_feature_rows,
     "p5_found": p5_found, "p5_rolling": p5_rolling, "p5_trees": p5_trees,
 }
@@ -111,5 +120,6 @@ SELECT side, account_id, count(*) AS n_tx, round(sum(CASE WHEN a IS NULL OR isna
     "p5_found": f"""WITH {_DAYS}, best AS (SELECT Sender_account, day, total_30, n_7, max(total_30) OVER (PARTITION BY Sender_account) AS most FROM rolled)
 SELECT Sender_account, strftime(min(day), '%Y-%m-%d') AS day, 'peak_30' AS day_kind FROM best WHERE total_30 = most GROUP BY 1
 UNION ALL SELECT Sender_account, strftime(min(day), '%Y-%m-%d'), 'lapse_7' FROM best WHERE n_7 = 0 GROUP BY 1""",
+    "p5_corrected": f"WITH {_DAYS} SELECT Sender_account, round(sum(total), 2) AS total, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1",
     "p5_rolling": f"WITH {_DAYS} SELECT Sender_account, strftime(day, '%Y-%m-%d') AS day, total_7, avg_7, total_30, avg_30, n_7, n_30 FROM rolled",
 }
