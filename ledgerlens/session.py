@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,17 @@ def materialise(df: DataFrame) -> DataFrame:
             raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, whose Python need not have it on its path; once per application."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(context, "_ledgerlens_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-package-"), "ledgerlens.zip")  # read by the driver, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(Path(package.name) / file.relative_to(package)))
+    context.addPyFile(archive)
+    context._ledgerlens_shipped = True
