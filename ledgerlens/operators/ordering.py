@@ -1,56 +1,49 @@
 """Ranks, running sums and exact quantiles over all rows, without one task that sorts them all.
 
-Rows fall into value buckets cut at approximate quantiles; each bucket is numbered on its
-own and moved on by what the buckets below it hold. The quantiles only balance the buckets:
-results are exact whatever they are.
+Rows are range-partitioned by value and key, so a value that any share of all rows has is
+still many tasks, sorted inside their ranges and numbered there; the rows of the ranges
+below are added. The numbering is checkpointed before it is counted, because ranges are
+drawn from a sample.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from ledgerlens.session import materialise
 
+_WITHIN = (1 << 33) - 1  # of monotonically_increasing_id, the place inside a partition
 
-def _below(cuts: list[float], x) -> Column:
-    """How many of the sorted cuts lie below x; NULL lies below all."""
-    return F.when(x.isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c < x)))
 
+def in_order(df: DataFrame, value: str, key: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with _rank (from 1) and _n by ``value`` upwards, ties by the unique ``key``; sums: new column -> column to add up to and with the row.
 
-def in_order(df: DataFrame, value: str, key: str, sums: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """df with _rank (from 1) and _n by ``value`` (double) upwards, ties by the unique numeric ``key``; sums: new column -> column to add up to and with the row.
-
-    NULL values come first. A value that several cuts fall on has a bucket of its own, and
-    that is split by the key, so a third of all rows may share one value. An empty input
-    comes out empty.
+    NULL values come first, NaN last. There are as many ranges as shuffle partitions. An
+    empty input comes out empty.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(value, shares, 1000), F.percentile_approx(F.col(key).cast("double"), shares, 1000), F.avg(F.col(value).isNull().cast("double"))).first()
-    cuts, by_key = (sorted(set(x)) if x else [0.0] for x in found[:2])
-    heavy = [v for v, n in Counter(found[0] or []).items() if n > 1]
-    v, k = F.col(value), F.col(key).cast("double")
-    own_bucket = (v.isNull() & F.lit((found[2] or 0) > 2 / buckets)) | F.coalesce(v.isin(heavy) if heavy else F.lit(False), F.lit(False))
-    placed = df.withColumn("_io_bucket", 2 * _below(cuts, v) + own_bucket.cast("int")).withColumn("_io_part", F.when(own_bucket, _below(by_key, k)).otherwise(0))
+    order = [F.col(value).asc_nulls_first(), F.col(key)]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_io_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_io_range", F.shiftright("_io_at", 33))
     sums = sums or {}
-    held = placed.groupBy("_io_bucket", "_io_part").agg(F.count("*").alias("_io_rows"), *(F.sum(c).alias(f"_io_sum_{name}") for name, c in sums.items()))
-    below = W.orderBy("_io_bucket", "_io_part").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    held = placed.groupBy("_io_range").agg(F.count("*").alias("_io_rows"), *(F.sum(c).alias(f"_io_sum_{name}") for name, c in sums.items()))
+    below = W.orderBy("_io_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     offsets = held.select(
-        "_io_bucket", "_io_part", F.coalesce(F.sum("_io_rows").over(below), F.lit(0)).alias("_io_before"), F.sum("_io_rows").over(W.partitionBy()).alias("_n"),
+        "_io_range", F.coalesce(F.sum("_io_rows").over(below), F.lit(0)).alias("_io_before"), F.sum("_io_rows").over(W.partitionBy()).alias("_n"),
         *(F.coalesce(F.sum(f"_io_sum_{name}").over(below), F.lit(0)).alias(f"_io_sum_{name}") for name in sums),
     )
-    own = W.partitionBy("_io_bucket", "_io_part").orderBy(v.asc_nulls_first(), key)
-    out = placed.withColumn("_io_own", F.row_number().over(own))
+    out = placed
+    own = W.partitionBy("_io_range").orderBy("_io_at").rowsBetween(W.unboundedPreceding, 0)
     for name, c in sums.items():
-        out = out.withColumn(name, F.sum(c).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.join(F.broadcast(offsets), ["_io_bucket", "_io_part"]).withColumn("_rank", F.col("_io_before") + F.col("_io_own"))  # at most 2 * buckets * buckets short rows
+        out = out.withColumn(name, F.sum(c).over(own))
+    out = out.join(F.broadcast(offsets), "_io_range").withColumn("_rank", F.col("_io_before") + F.col("_io_at").bitwiseAND(F.lit(_WITHIN)) + 1)
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col(f"_io_sum_{name}"))
-    return out.drop("_io_bucket", "_io_part", "_io_before", "_io_own", *(f"_io_sum_{name}" for name in sums))
+    return out.drop("_io_range", "_io_at", "_io_before", *(f"_io_sum_{name}" for name in sums))
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:

@@ -93,12 +93,12 @@ def test_ranks_and_quantiles(spark):
     rnd = random.Random(2)
     data = [(i, rnd.choice([None, 1.0, 2.0, 2.0, rnd.random(), -5.0])) for i in range(500)]
     df = spark.createDataFrame(data, "k int, v double").repartition(4)
-    got = {r["k"]: (r["_rank"], r["up"]) for r in in_order(df.withColumn("one", F.lit(1)), "v", "k", {"up": "one"}, buckets=7).collect()}
+    got = {r["k"]: (r["_rank"], r["up"]) for r in in_order(df.withColumn("one", F.lit(1)), "v", "k", {"up": "one"}).collect()}
     order = sorted(data, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
     assert got == {k: (i + 1, i + 1) for i, (k, _) in enumerate(order)}
     heavy = [(i, 0.5 if i % 3 else float(i % 7)) for i in range(900)]
     hot = spark.createDataFrame(heavy, "k int, v double").repartition(4)
-    got = {r["k"]: r["_rank"] for r in in_order(hot, "v", "k", buckets=16).collect()}
+    got = {r["k"]: r["_rank"] for r in in_order(hot, "v", "k").collect()}
     assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(heavy, key=lambda x: (x[1], x[0])))}
     values = [v for _, v in data if v is not None]
     assert quantiles(df, "v", [0, 0.1, 0.5, 0.99, 1]) == pytest.approx(list(np.quantile(values, [0, 0.1, 0.5, 0.99, 1])))
