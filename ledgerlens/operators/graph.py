@@ -154,6 +154,21 @@ def two_hop(simple: DataFrame, seeds: DataFrame) -> DataFrame:
     return start.unionByName(first).unionByName(second).distinct()
 
 
+def ego_to_three(simple: DataFrame) -> DataFrame:
+    """(id, ego_nodes): the vertices within two steps in any direction, the vertex included, counted up to three.
+
+    A second neighbour makes three, as does an only neighbour that has others; what is left
+    are pairs that know only each other (2) and vertices without a neighbour (1).
+    """
+    pairs = undirected(simple)
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    near = pairs.select(F.explode(ends).alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.count("*").alias("n"), F.min("e.other").alias("other"))
+    single = near.where("n = 1").select("id", "other")
+    closed = single.join(single.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_semi").select("id", F.lit(2).alias("two"))
+    out = vertices(simple).join(near.select("id", "n"), "id", "left").join(closed, "id", "left")
+    return out.select("id", F.when(F.col("n").isNull(), 1).otherwise(F.coalesce("two", F.lit(3))).alias("ego_nodes"))
+
+
 def induced(simple: DataFrame, members: DataFrame) -> DataFrame:
     """(seed, src, dst, *): for each seed the edges with both ends among its members (seed, id)."""
     one = simple.join(members.select("seed", F.col("id").alias("src")), "src")

@@ -152,11 +152,12 @@ def path_scores(spark, folder):
 
 def adaptive_weights(spark, folder):
     """Weights of accounts by how few neighbours they have."""
-    d = graph.degrees(graph.last_edges(edges(spark, folder)))
+    simple = materialise(graph.last_edges(edges(spark, folder)))
+    d = graph.degrees(simple).join(graph.ego_to_three(simple), "id")
     nodes = F.col("in_degree") + F.col("out_degree")
     base = fusion.pack(F.lit(0.5), F.lit(0.3), F.lit(0.2))
     raised = d.withColumn("w", fusion.isolated(base, 1 / (1 + nodes)))
-    held = raised.withColumn("w", fusion.floored(F.col("w"), nodes))
+    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes")))
     return held.select("id", *(F.round(f"w.{n}", 6).alias(n) for n in fusion.NAMES))
 
 

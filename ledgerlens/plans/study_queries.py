@@ -132,10 +132,10 @@ def network_weights(spark, folder):
 def adaptive_fusion(spark, folder):
     """Each transaction's score, its sender's place in the graph and its rule points, weighted by how isolated the sender is; static weights where the sender is not in the graph."""
     simple = materialise(graph.last_edges(edges(spark, folder)))
-    d = graph.degrees(simple)
+    d = graph.degrees(simple).join(graph.ego_to_three(simple), "id")
     n = F.col("in_degree") + F.col("out_degree")
     raised = d.withColumn("w", fusion.isolated(fusion.pack(F.lit(0.5), F.lit(0.3), F.lit(0.2)), 1 / (1 + n)))
-    held = raised.withColumn("w", fusion.floored(F.col("w"), n)).join(flow.pagerank(simple.withColumnRenamed("amount", "weight"), rounds=5), "id")
+    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes"))).join(flow.pagerank(simple.withColumnRenamed("amount", "weight"), rounds=5), "id")
     vertex = fusion.minmax(materialise(held.select("id", "w", "rank")), "rank", "place").select("id", "w", "place")
     tx = fusion.apply_rules(features.behaviour(transactions(spark, folder)), TX_RULES)
     joined = tx.join(vertex.withColumnRenamed("id", "s"), "s", "left")
