@@ -49,17 +49,29 @@ def pagerank(weighted: DataFrame, nodes: DataFrame | None = None, rounds: int |
     return ranks.select("id", "rank")
 
 
-def hits(simple: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, hub, authority) of the unweighted graph after so many rounds, each adding up to 1; 1/n where a sum is 0."""
+def hits(simple: DataFrame, rounds: int | None = 20, tolerance: float = TOLERANCE) -> DataFrame:
+    """(id, hub, authority) of the unweighted graph, each adding up to 1.
+
+    rounds: exactly so many; with None until the L1 distance of the hubs of two rounds is
+    below ``tolerance``. Hubs that have not settled within 100 rounds give 1/n everywhere.
+    """
     nodes = vertices(simple)
     links = materialise(simple.select("src", "dst").distinct())
     now = materialise(nodes.select("id", F.lit(1.0).alias("hub"), F.lit(0.0).alias("authority")))
-    for i in range(rounds):
+    for i in range(rounds or ROUNDS):
         a = links.join(now.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("authority"))
         a = a.withColumn("authority", F.col("authority") / a.agg(F.sum("authority")).scalar())
         h = links.join(a.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub"))
         h = h.withColumn("hub", F.col("hub") / h.agg(F.sum("hub")).scalar())
-        now = materialise(nodes.join(h, "id", "left").join(a, "id", "left").na.fill(0.0))
+        before, now = now, materialise(nodes.join(h, "id", "left").join(a, "id", "left").na.fill(0.0))
+        if rounds is None:
+            apart = now.join(before.select("id", F.col("hub").alias("_old")), "id").agg(F.sum(F.abs(F.col("hub") - F.col("_old")))).first()[0]
+            if apart is None or apart < tolerance:
+                break
+    else:
+        if rounds is None:
+            even = 1.0 / nodes.count()
+            return nodes.select("id", F.lit(even).alias("hub"), F.lit(even).alias("authority"))
     return now.select("id", "hub", "authority")
 
 

@@ -62,18 +62,31 @@ def scc_flow(spark, folder):
     return groups.select("id", "scc_size", "intra_degree", *_r("intra_in", "intra_out", digits=3), *_r("flow_ratio", "intra_share"))
 
 
-def pagerank_fixed(spark, folder):
+def pagerank(spark, folder, rounds=None):
+    """Until the ranks settle; the fixed form is what SQL can replay, as with the next two."""
     simple = g.last_edges(edges(spark, folder)).withColumnRenamed("amount", "weight")
-    return flow.pagerank(materialise(simple), rounds=RANK_ROUNDS).select("id", *_r("rank", digits=9))
+    return flow.pagerank(materialise(simple), rounds=rounds).select("id", *_r("rank", digits=9))
 
 
-def td_pagerank_fixed(spark, folder):
-    out = flow.td_pagerank(materialise(edges(spark, folder)), HALF_LIFE, rounds=RANK_ROUNDS)
+def pagerank_fixed(spark, folder):
+    return pagerank(spark, folder, RANK_ROUNDS)
+
+
+def td_pagerank(spark, folder, rounds=None):
+    out = flow.td_pagerank(materialise(edges(spark, folder)), HALF_LIFE, rounds=rounds)
     return out.select("id", *_r("raw", "score", digits=9), *_r("normalised"), "cycle_member", "dormant")
 
 
+def td_pagerank_fixed(spark, folder):
+    return td_pagerank(spark, folder, RANK_ROUNDS)
+
+
+def hits(spark, folder, rounds=None):
+    return flow.hits(g.last_edges(edges(spark, folder)), rounds).select("id", *_r("hub", "authority", digits=9))
+
+
 def hits_fixed(spark, folder):
-    return flow.hits(g.last_edges(edges(spark, folder)), HITS_ROUNDS).select("id", *_r("hub", "authority", digits=9))
+    return hits(spark, folder, HITS_ROUNDS)
 
 
 def betweenness(spark, folder):
@@ -108,7 +121,7 @@ def decile_bins(spark, folder):
 
 QUERIES = {x.__name__: x for x in (
     edge_accumulate, edge_dedup_last, temporal_edge_weights, degrees, reciprocity_ratios, clustering, burst_log, dormant_nodes, decay_impact,
-    scc_members, scc_flow, pagerank_fixed, td_pagerank_fixed, hits_fixed, betweenness, ego_one_hop, ego_two_hop, topology_counts, decile_bins,
+    scc_members, scc_flow, pagerank, pagerank_fixed, td_pagerank, td_pagerank_fixed, hits, hits_fixed, betweenness, ego_one_hop, ego_two_hop, topology_counts, decile_bins,
 )}
 
 SIMPLE_SQL = "g AS (SELECT src, dst, arg_max(amount, row(moment, amount)) AS amount FROM e GROUP BY 1, 2), v AS (SELECT DISTINCT unnest([src, dst]) AS id FROM g)"

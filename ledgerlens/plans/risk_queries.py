@@ -161,29 +161,38 @@ def adaptive_weights(spark, folder):
     return held.select("id", *(F.round(f"w.{n}", 6).alias(n) for n in fusion.NAMES))
 
 
-def _rank_maps(spark, folder):
+def _rank_maps(spark, folder, rounds=RANK_ROUNDS):
     e = materialise(edges(spark, folder))
     simple = graph.last_edges(e).withColumnRenamed("amount", "weight")
-    one = flow.pagerank(materialise(simple), rounds=RANK_ROUNDS).select("id", F.col("rank").alias("value"))
+    one = flow.pagerank(materialise(simple), rounds=rounds).select("id", F.col("rank").alias("value"))
     recent = graph.temporal_edges(e.where("day >= DATE'2025-03-01'"), 7.0, burst=False).select("src", "dst", "weight")
-    return materialise(flow.pagerank(materialise(recent), rounds=RANK_ROUNDS).select("id", F.col("rank").alias("value"))), materialise(one)
+    return materialise(flow.pagerank(materialise(recent), rounds=rounds).select("id", F.col("rank").alias("value"))), materialise(one)
 
 
-def known_node_diff(spark, folder):
-    """PageRank of the recent decayed graph against that of the whole graph, over vertices of both."""
-    a, b = _rank_maps(spark, folder)
+def known_node_diff(spark, folder, rounds=RANK_ROUNDS):
+    """PageRank of the recent decayed graph against that of the whole graph, over vertices of both; in the rounds that SQL replays."""
+    a, b = _rank_maps(spark, folder, rounds)
     return metrics.map_difference(a, b).select("n", *_r("mean_abs", digits=9), *_r("mean_abs_pct", digits=4))
 
 
-def outer_node_diff(spark, folder):
-    a, b = _rank_maps(spark, folder)
+def known_node_diff_settled(spark, folder):
+    """The same of ranks that have settled."""
+    return known_node_diff(spark, folder, None)
+
+
+def outer_node_diff(spark, folder, rounds=RANK_ROUNDS):
+    a, b = _rank_maps(spark, folder, rounds)
     return metrics.map_difference(a, b, outer=True).select("n", *_r("mean_abs", digits=9), *_r("mean_abs_pct", digits=4))
 
 
+def outer_node_diff_settled(spark, folder):
+    return outer_node_diff(spark, folder, None)
+
+
 QUERIES = {x.__name__: x for x in (
     account_risk, account_risk_ranking, priority_bands, account_facts, typology_rules, peer_averages, analyst_kpis, flagged_transactions, known_both_ends,
     tx_rule_points, rule_triggers, rrf, ranking_at_k, average_precision, brier, score_stats, bootstrap_precision, psi_drift, kl_drift, precision_budget,
-    adjusted_budget, path_scores, adaptive_weights, known_node_diff, outer_node_diff,
+    adjusted_budget, path_scores, adaptive_weights, known_node_diff, known_node_diff_settled, outer_node_diff, outer_node_diff_settled,
 )}
 
 RISK_SQL = f"""{TX_SQL}, ro AS (SELECT s AS account_id, 0 AS side, row_index, day, coalesce(score, 0e0) AS sc FROM tx WHERE s IS NOT NULL AND day IS NOT NULL

@@ -53,7 +53,7 @@ def latest_transactions(spark, folder):
 
 def graph_assertions(spark, folder):
     e = materialise(edges(spark, folder))
-    ranks = materialise(flow.td_pagerank(e, HALF_LIFE, rounds=10))
+    ranks = materialise(flow.td_pagerank(e, HALF_LIFE))
     return network.assertions(e, network.single_weights(e, HALF_LIFE), ranks, HALF_LIFE)
 
 
@@ -135,7 +135,7 @@ def adaptive_fusion(spark, folder):
     d = graph.degrees(simple).join(graph.ego_to_three(simple), "id")
     n = F.col("in_degree") + F.col("out_degree")
     raised = d.withColumn("w", fusion.isolated(fusion.pack(F.lit(0.5), F.lit(0.3), F.lit(0.2)), 1 / (1 + n)))
-    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes"))).join(flow.pagerank(simple.withColumnRenamed("amount", "weight"), rounds=5), "id")
+    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes"))).join(flow.pagerank(simple.withColumnRenamed("amount", "weight")), "id")
     vertex = fusion.minmax(materialise(held.select("id", "w", "rank")), "rank", "place").select("id", "w", "place")
     tx = fusion.apply_rules(features.behaviour(transactions(spark, folder)), TX_RULES)
     joined = tx.join(vertex.withColumnRenamed("id", "s"), "s", "left")
