@@ -12,6 +12,8 @@ from ledgerlens.operators.ordering import quantiles
 BINS, TINY = 20, 1e-10
 PSI_ALERT, KL_SHIFT = 0.3, 0.15
 BASE, LOWEST, HIGHEST, WINDOW = 0.60, 0.55, 0.75, 10
+#: Share of online estimates in the blend with evaluations.
+ONLINE = 0.7
 
 
 def psi(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
@@ -82,8 +84,37 @@ def trailing_budget(history: DataFrame, key: str = "path_id", order: str = "seq"
     return history.withColumn("mean_10", F.avg("precision").over(last)).withColumn("budget", budget(F.col("mean_10"), F.col("kl")))
 
 
-def adjusted_budget(ordered: Column, base: float = BASE) -> Column:
-    """Budget after an ordered array of estimates: five in a row above base + 0.10 raise it by 0.05, three in a row within 0.05 of it lower it by 0.02, within bounds."""
+def evaluated(rows: DataFrame, key: str = "path_id", order: str = "seq") -> DataFrame:
+    """(key, order, precision, kl, mean_10, budget) of rows (key, order, score, label), one evaluation for each of their periods.
+
+    kl is the divergence of a period's scores from the moving reference, 0 for the first
+    period; a period whose precision is no more than 0.05 below its budget moves the reference.
+    """
+    bins = histogram(rows, "score", key, order).groupBy(key, order).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("h"))  # 20 values
+    each = rows.groupBy(key, order).agg(F.avg("label").alias("precision")).join(bins, [key, order])
+    ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "precision", "h"))).alias("_o"))  # a value per period
+    done = f"array<struct<{order}:bigint,precision:double,kl:double,mean_10:double,budget:double>>"
+    start = F.struct(F.lit(None).cast("array<double>").alias("ref"), F.array().cast("array<double>").alias("last"), F.array().cast(done).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.concat(F.when(F.size(s["last"]) >= WINDOW, F.slice(s["last"], 2, WINDOW - 1)).otherwise(s["last"]), F.array(x["precision"]))
+        mean = F.aggregate(last, F.lit(0.0), lambda a, b: a + b) / F.size(last)
+        kl = F.coalesce(F.aggregate(F.zip_with(x["h"], s["ref"], lambda p, q: p * F.log(p / q)), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+        asked = budget(mean, kl)
+        moved = F.coalesce(moving_reference(F.when(s["ref"].isNotNull(), F.array(s["ref"], x["h"]))), x["h"])
+        row = F.struct(x[order].cast("bigint").alias(order), x["precision"].alias("precision"), kl.alias("kl"), mean.alias("mean_10"), asked.alias("budget"))
+        return F.struct(F.when(x["precision"] >= asked - 0.05, moved).otherwise(s["ref"]).alias("ref"), last.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    return ordered.select(key, F.explode(F.aggregate("_o", start, step, lambda s: s["out"])).alias("_e")).select(key, "_e.*")
+
+
+def blended(online: Column, shadow: Column) -> Column:
+    """0.7 of the mean of online estimates and 0.3 of that of evaluations; one alone where the other is NULL."""
+    return F.coalesce(ONLINE * online + (1 - ONLINE) * shadow, online, shadow)
+
+
+def adjusted_budget(ordered: Column, base: float = BASE, kl: Column | None = None) -> Column:
+    """Budget after an ordered array of estimates: five in a row above base + 0.10 raise it by 0.05, three in a row within 0.05 of it lower it by 0.02, a divergence above 0.10 raises it by 0.03, within bounds."""
     start = F.struct(F.lit(0.0).alias("adj"), F.lit(0).alias("high"), F.lit(0).alias("near"))
 
     def step(s: Column, p: Column) -> Column:
@@ -94,6 +125,8 @@ def adjusted_budget(ordered: Column, base: float = BASE) -> Column:
         return F.struct(lowered.alias("adj"), high.alias("high"), near.alias("near"))
 
     total = F.aggregate(ordered, start, step, lambda s: s["adj"])
+    if kl is not None:
+        total = total + F.when(kl > 0.10, 0.03).otherwise(0.0)
     return F.round(F.greatest(F.least(total + base, F.lit(HIGHEST)), F.lit(LOWEST)), 4)
 
 

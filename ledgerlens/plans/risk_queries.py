@@ -10,6 +10,7 @@ from ledgerlens.plans.feature_queries import SPLIT_SQL, VELOCITY_SQL
 from ledgerlens.plans.graph_queries import RANK_ROUNDS, SIMPLE_SQL, _ranks
 from ledgerlens.session import materialise
 from ledgerlens.sources.views import EDGE_SQL, FEEDBACK_SQL, TX_SQL, edges, feedback, transactions
+from ledgerlens.streaming import feedback as stream
 
 K = 50
 #: Examples of the rules a user supplies.
@@ -129,19 +130,34 @@ def kl_drift(spark, folder):
 
 
 def precision_budget(spark, folder):
-    """The budget after each month of each path, from the monthly share of confirmed feedback."""
+    """The budget after each month of each path, from the monthly share of confirmed feedback alone; drift_budget adds the divergence."""
     return drift.trailing_budget(_monthly(spark, folder)).select("path_id", "seq", *_r("precision", "mean_10"), "budget")
 
 
+def _dated(spark, folder):
+    return feedback(spark, folder).withColumns({"seq": F.year("ts") * 12 + F.month("ts"), "week": F.floor(F.unix_date(F.to_date("ts")) / 7)})
+
+
 def _monthly(spark, folder):
     rows = feedback(spark, folder).groupBy("path_id", (F.year("ts") * 12 + F.month("ts")).alias("seq")).agg(F.avg("label").alias("precision"))
     return rows.withColumn("kl", F.lit(0.0))
 
 
+def drift_budget(spark, folder):
+    """The same budget raised where the month's scores diverge from the moving reference of the path."""
+    return drift.evaluated(_dated(spark, folder)).select("path_id", "seq", *_r("precision", "kl", "mean_10"), "budget")
+
+
 def adjusted_budget(spark, folder):
-    weekly = feedback(spark, folder).groupBy("path_id", F.floor(F.unix_date(F.to_date("ts")) / 7).alias("w")).agg(F.max("score").alias("p"))
-    ordered = weekly.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "p"))), lambda x: x["p"]).alias("ps"))  # a value per week
-    return ordered.select("path_id", drift.adjusted_budget(F.col("ps")).alias("budget"))
+    """The budget after the weekly online precisions of each path and its last divergence, and the blend of online precisions with the monthly evaluations (the last ten of each)."""
+    rows = materialise(_dated(spark, folder))
+    weekly = stream.precision_after(rows, "week").where("precision IS NOT NULL")
+    online = weekly.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "precision"))), lambda x: x["precision"]).alias("ps"))  # a value per week
+    months = drift.evaluated(rows).groupBy("path_id").agg(F.max_by("kl", "seq").alias("kl"), F.max_by("mean_10", "seq").alias("shadow"))
+    both = months.join(online, "path_id", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<double>")))
+    last = F.slice(F.reverse("ps"), 1, drift.WINDOW)
+    mean = F.when(F.size(last) > 0, F.aggregate(last, F.lit(0.0), lambda a, b: a + b) / F.size(last))
+    return both.select("path_id", drift.adjusted_budget(F.col("ps"), kl=F.col("kl")).alias("budget"), F.round(drift.blended(mean, F.col("shadow")), 6).alias("blended"))
 
 
 def path_scores(spark, folder):
@@ -192,7 +208,7 @@ def outer_node_diff_settled(spark, folder):
 QUERIES = {x.__name__: x for x in (
     account_risk, account_risk_ranking, priority_bands, account_facts, typology_rules, peer_averages, analyst_kpis, flagged_transactions, known_both_ends,
     tx_rule_points, rule_triggers, rrf, ranking_at_k, average_precision, brier, score_stats, bootstrap_precision, psi_drift, kl_drift, precision_budget,
-    adjusted_budget, path_scores, adaptive_weights, known_node_diff, known_node_diff_settled, outer_node_diff, outer_node_diff_settled,
+    drift_budget, adjusted_budget, path_scores, adaptive_weights, known_node_diff, known_node_diff_settled, outer_node_diff, outer_node_diff_settled,
 )}
 
 RISK_SQL = f"""{TX_SQL}, ro AS (SELECT s AS account_id, 0 AS side, row_index, day, coalesce(score, 0e0) AS sc FROM tx WHERE s IS NOT NULL AND day IS NOT NULL

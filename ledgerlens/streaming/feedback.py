@@ -42,6 +42,26 @@ def online_precision(kept: DataFrame) -> DataFrame:
     )
 
 
+def precision_after(feedback: DataFrame, period: str) -> DataFrame:
+    """(path_id, period, precision): online_precision as it stands after each period of a path, in order of ts, ties by content.
+
+    Rows are numbered inside a day and moved on by the days before; a window of ``WINDOW``
+    rows lies in two stretches of that many.
+    """
+    rows = feedback.withColumn("_d", F.to_date("ts"))
+    days = rows.groupBy("path_id", "_d").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("path_id").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("path_id", "_d").orderBy("ts", "account_id", "score", "label"))
+    placed = rows.withColumn("_own", own).join(days.select("path_id", "_d", before.alias("_b")), ["path_id", "_d"])
+    placed = placed.withColumn("_at", F.col("_b") + F.col("_own")).withColumn("_part", F.floor((F.col("_at") - 1) / WINDOW))
+    ends = placed.groupBy("path_id", period).agg(F.max("_at").alias("_end")).withColumn("_last", F.floor((F.col("_end") - 1) / WINDOW))
+    ends = ends.withColumn("_part", F.explode(F.array("_last", F.col("_last") - 1)))
+    seen = ends.join(placed.select("path_id", "_part", "_at", "score", "label"), ["path_id", "_part"]).where((F.col("_at") <= F.col("_end")) & (F.col("_at") > F.col("_end") - WINDOW))
+    ranked = seen.withColumn("_s", F.row_number().over(W.partitionBy("path_id", period).orderBy(F.desc("score"), "_at")))
+    share = F.avg(F.when(F.col("_s") <= BEST, F.col("label")))
+    return ranked.groupBy("path_id", period).agg(F.when(F.count("*") >= LEAST, share).alias("precision"))
+
+
 def precision_of(window: list[tuple[float, int]]) -> float | None:
     if len(window) < LEAST:
         return None
