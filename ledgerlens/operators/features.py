@@ -220,8 +220,8 @@ def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
 def kept_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns asked for that are there and kept; leaky ones are left out."""
     there = [c for c in columns if c in df.columns and c not in LEAKY]
-    kept = {r["column"] for r in column_report(df, there).where("kept").select("column").collect()} if there else set()
-    return [c for c in there if c in kept]
+    kept = df.agg(*((F.min(c) < F.max(c)).alias(c) for c in there)).first() if there else {}
+    return [c for c in there if kept[c]]
 
 
 def momentum(tx: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, dormant, incident, temporal_edges, vertices
+from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, clustering, decay_impact, dormant, incident, last_edges, reciprocity, temporal_edges, vertices
 from ledgerlens.session import materialise
 
 # Damping, tolerance and rounds of both variants; what a closed group's vertex keeps of its rank.
@@ -221,3 +221,23 @@ def _settle(nodes: DataFrame, tree: DataFrame, seeds: DataFrame) -> DataFrame:
         now = new.select("o", "id", F.col("n").alias("v"))
         if settled:
             return now
+
+
+def graph_features(edges: DataFrame, half_life: float = 7.0, sources: int = 500) -> DataFrame:
+    """(account_id, gf_*): every measure of a vertex that models take, one row per vertex of the edges."""
+    simple = materialise(last_edges(edges))
+    scc = materialise(strong_components(edges))
+    ranks = td_pagerank(edges, half_life, scc=scc).select("id", "normalised", "cycle_member")
+    out = reciprocity(simple)
+    for other in (
+        clustering(simple).select("id", "clustering"), betweenness(simple, sources), hits(simple, None), ranks,
+        scc.select("id", (F.col("size") > 1).cast("int").alias("in_cycle")), decay_impact(temporal_edges(edges, half_life)),
+    ):
+        out = out.join(materialise(other), "id", "left")
+    names = {
+        "in_degree": "in_degree", "out_degree": "out_degree", "weighted_in_degree": "weighted_in", "weighted_out_degree": "weighted_out", "clustering_coefficient": "clustering",
+        "betweenness": "betweenness", "hub_score": "hub", "authority_score": "authority", "degree_ratio": "degree_ratio", "flow_ratio": "flow_ratio",
+        "unique_in_neighbors": "in_degree", "unique_out_neighbors": "out_degree", "reciprocity": "reciprocity", "in_cycle": "in_cycle", "pagerank": "normalised",
+        "td_pagerank_score": "normalised", "decay_impact": "decay_impact",
+    }
+    return out.select(F.col("id").alias("account_id"), *(F.col(c).alias(f"gf_{n}") for n, c in names.items()), F.col("cycle_member").cast("int").alias("gf_cycle_member"))

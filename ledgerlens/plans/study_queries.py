@@ -5,15 +5,23 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import text
 from ledgerlens.operators import features, flow, fusion, graph, learned, metrics, network, neural, paths, risk
+from ledgerlens.operators.ordering import in_order
 from ledgerlens.plans.feature_queries import VELOCITY_SQL
-from ledgerlens.plans.graph_queries import HALF_LIFE, SIMPLE_SQL
-from ledgerlens.plans.risk_queries import K, RISK_SQL, SHARE_RULES, TX_RULES
+from ledgerlens.plans.graph_queries import HALF_LIFE, SIMPLE_SQL, SOURCES
+from ledgerlens.plans.risk_queries import FACT_RULES, K, RISK_SQL, SHARE_RULES, TX_RULES
 from ledgerlens.session import materialise
 from ledgerlens.sources.views import EDGE_SQL, FEEDBACK_SQL, TX_SQL, accounts, edges, feedback, transactions
 
 BASE = ["amount", "cross_border_flag", "tx_count_10", "hour", "is_off_hours", "is_weekend"]
 GRAPH = ["sender_gf_in_degree", "sender_gf_out_degree", "sender_gf_reciprocity", "receiver_gf_in_degree", "receiver_gf_out_degree"]
+#: Features of the pipeline beside those of the graph; those with one value only and leaky ones are dropped.
+WIDE = [
+    "amount", "cross_border_flag", "tx_count_10", "tx_count_30", "velocity_sum_10tx", "is_off_hours", "is_late_night", "is_weekend", "pair_tx_sequence", "pair_total_txs", "pair_amount_deviation", "is_one_shot_pair",
+    "amount_zscore_sender", "near_threshold_100k", "near_threshold_500k", "near_threshold_1000k", "velocity_burst_ratio",
+    "sender_institution_risk", "receiver_institution_risk", "sender_branch_risk", "receiver_branch_risk",
+]
 #: Alternatives as a user states them.
 EXAMPLE_PATHS = [("all", ["model", "graph", "rules"], 0.82), ("no_rules", ["model", "graph"], 0.76), ("no_graph", ["model", "rules"], 0.72), ("model_only", ["model"], 0.62)]
 
@@ -150,16 +158,59 @@ def fusion_gain(spark, folder):
     return metrics.improvement(metrics.at_k(rows, K, "score"), metrics.at_k(rows, K, "fused"), "precision").select("metric", *_r("before", "after", "gain"), "enough")
 
 
+def _training_graph(spark, folder, split):
+    """Graph features of the edges before the last day of the training split; edges have no time, so that day's could be later than the boundary."""
+    end = split.where("split = 'train'").agg(F.max("day")).scalar()
+    return materialise(flow.graph_features(materialise(features.until(edges(spark, folder), F.date_sub(end, 1))), HALF_LIFE, SOURCES))
+
+
+def _reasons(fused, wide, fitted, names):
+    """(account_id, reasons): of each account's riskiest transaction, in either role, the features that raise a linear model's score most, in words."""
+    worst = materialise(risk.by_role(fused, "row_index", "score").groupBy("account_id").agg(F.max_by("row_index", F.struct("score", "row_index")).alias("row_index")))
+    rows = materialise(wide.join(worst.select("row_index").distinct(), "row_index", "left_semi").select("row_index", *names))
+    parts = learned.contributions(learned.fit_linear(fitted, names), rows, names).withColumn("label", features.readable(F.col("feature"), features.FEATURE_LABELS))
+    text_of = parts.groupBy("row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), " || ").alias("reasons"))  # five at most
+    return worst.join(text_of, "row_index", "left").select("account_id", F.coalesce("reasons", F.lit("No single feature raises this account's risk.")).alias("reasons"))
+
+
+def _rule_facts(fused):
+    """Facts of the scored transactions per account, judged by the rules: cross-border over both roles, flow without a least divisor, and whether a sender lies in a cycle."""
+    ratio = F.when(F.col("total_in") > 0, F.col("total_out") / F.when(F.col("total_in") > 0, F.col("total_in"))).otherwise(0.0)
+    facts = risk.account_facts(fused).withColumns({"cross_border_ratio_out": F.col("cross_border_ratio"), "flow_ratio": ratio})
+    cycles = risk.by_role(fused, "sender_gf_in_cycle").groupBy("account_id").agg((F.max("sender_gf_in_cycle") > 0).alias("is_cycle"))
+    return fusion.apply_rules(facts.join(cycles, "account_id"), FACT_RULES)
+
+
+def _narratives(facts):
+    """facts with a narrative of each account, its summary, and how much of it the summary keeps."""
+    money = lambda c: F.concat(F.lit("NPR "), F.format_number(F.col(c), 0))
+    story = F.concat(
+        F.lit("Account "), F.col("account_id"), F.lit(" received "), F.col("count_in"), F.lit(" transfers from "), F.col("unique_senders"), F.lit(" senders totalling "), money("total_in"),
+        F.lit(". It sent "), F.col("count_out"), F.lit(" transfers to "), F.col("unique_receivers"), F.lit(" receivers totalling "), money("total_out"),
+        F.lit(". Patterns: "), F.col("typologies"), F.lit("."),
+    )
+    return text.faithfulness(text.summary(text.entities(facts.withColumn("narrative", story), "narrative"), "narrative", sentences=2))
+
+
 def risk_pipeline(spark, folder):
-    """From the tables to banded accounts: features, trees fitted on the training split, the test split scored and raised by rules, accounts aggregated, named and ranked."""
-    tx = materialise(features.temporal_split(features.temporal(features.behaviour(transactions(spark, folder)))))
-    names = [*BASE, "tx_count_30", "velocity_sum_10tx"]
-    model = learned.fit_trees(tx.where("split = 'train'"), names, trees=8, depth=4)
-    scored = fusion.apply_rules(learned.scored(model, tx.where("split = 'test'"), names), TX_RULES)
-    fused = materialise(scored.select("row_index", "s", "r", "day", fusion.fuse(F.col("model_score"), points=F.col("points")).alias("score")))
-    banded = risk.priority_bands(materialise(risk.account_risk(fused)))
-    held = features.one_per_key(accounts(spark, folder), "account_id").select("account_id", "name", "institution")
-    return banded.join(held, "account_id", "left").select("account_id", "name", "institution", "priority", "tx_count", *_r("risk_recent_weighted"))
+    """From the tables to ranked accounts: graph features up to the training boundary, the wide training relation, trees fitted on the training split, the test split scored and raised by rules,
+    accounts aggregated, banded, named and ranked, with reasons, rules and narratives."""
+    split = materialise(features.temporal_split(transactions(spark, folder)))
+    wide = features.training_rows(split, accounts(spark, folder), _training_graph(spark, folder, split))
+    names = features.kept_columns(wide.where("split = 'train'"), [*WIDE, *(c for c in wide.columns if "_gf_" in c)])
+    fitted = materialise(learned.sample(wide.where("split = 'train'").select("row_index", "label", *names)))
+    model = learned.fit_trees(fitted, names, trees=8, depth=4)
+    scored = fusion.apply_rules(learned.scored(model, wide.where("split = 'test'"), names), TX_RULES)
+    seen = ["row_index", "s", "r", "day", "amount", "cross_border_flag", "tx_count_10", "tx_count_30", "sender_gf_in_cycle"]
+    fused = materialise(scored.select(*seen, fusion.fuse(F.col("model_score"), points=F.col("points")).alias("score")))
+    banded = in_order(risk.priority_bands(materialise(risk.account_risk(fused))).withColumn("_v", -F.col("risk_recent_weighted")), "_v", "account_id")
+    held = features.one_per_key(accounts(spark, folder), "account_id").select("account_id", "name", "institution", "risk_grade")
+    told = _narratives(_rule_facts(fused)).select("account_id", "is_cycle", "points", "typologies", "explanation", "summary", *_r("faithfulness", digits=4), "faithful")
+    out = banded.join(held, "account_id", "left").join(_reasons(fused, wide.where("split = 'test'"), fitted, names), "account_id", "left").join(told, "account_id", "left")
+    return out.select(
+        F.col("_rank").alias("place"), "account_id", "name", "institution", "risk_grade", "priority", "tx_count", *_r("risk_recent_weighted"),
+        "reasons", "is_cycle", "points", "typologies", "explanation", "summary", "faithfulness", "faithful",
+    )
 
 
 QUERIES = {x.__name__: x for x in (
