@@ -172,7 +172,7 @@ def td_pagerank(edges: DataFrame, half_life: float = 7.0, rounds: int | None = N
 
 
 def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount", most_rounds: int = 1000) -> DataFrame:
-    """(id, betweenness) from the ``sources`` least vertices, amounts as distances, scaled by n/k over (n-1)(n-2).
+    """(id, betweenness) from ``sources`` vertices taken by a hash of the id, amounts as distances, scaled by n/k over (n-1)(n-2).
 
     Distances, path counts and dependencies are rows (source, vertex) that are relaxed
     until nothing changes, so neither the graph nor a source's tree has to fit a task.
@@ -182,7 +182,7 @@ def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount",
     n = nodes.count()
     k = min(sources, n)
     arcs = materialise(simple.where("src <> dst").select("src", "dst", F.greatest(F.col(distance), F.lit(1e-9)).alias("w")))
-    seeds = nodes.orderBy("id").limit(k)
+    seeds = materialise(nodes.orderBy(F.xxhash64("id"), "id").limit(k))
     now = materialise(seeds.select(F.col("id").alias("o"), "id", F.lit(0.0).alias("d")))
     moved = now
     for _ in range(most_rounds):
@@ -191,6 +191,8 @@ def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount",
         now, moved = both.select("o", "id", "d"), both.where("_m").select("o", "id", "d")
         if moved.isEmpty():
             break
+    else:
+        raise RuntimeError("the distances did not settle")
     to = now.select("o", F.col("id").alias("dst"), F.col("d").alias("_e"))
     tree = materialise(now.join(arcs, now["id"] == arcs["src"]).join(to, ["o", "dst"]).where("d + w = _e").select("o", "src", "dst"))
     sigma = _settle(now.select("o", "id"), tree, seeds)
@@ -205,6 +207,8 @@ def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount",
         delta = new.select("o", "id", "v")
         if new.where("_m").isEmpty():
             break
+    else:
+        raise RuntimeError("the dependencies did not settle")
     scale = n / (k * (n - 1) * (n - 2)) if n > 2 else 0.0
     sums = delta.where("o <> id").groupBy("id").agg((F.sum("v") * scale).alias("betweenness"))
     return nodes.join(sums, "id", "left").na.fill(0.0, ["betweenness"])
