@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.dense_totals import dense_key_totals, heavy_keys
 from ledgerlens.operators.entity_features import entity_type_stats, feature_table, most_frequent_type, role_events
-from ledgerlens.operators.rolling import correct, daily, peaks_and_lapses, rolling_totals, segment_trees
-from ledgerlens.session import materialise
+from ledgerlens.operators.rolling import (
+    correct,
+    correct_kept,
+    daily,
+    keep_trees,
+    kept_trees,
+    peaks_and_lapses,
+    rolling_totals,
+    segment_trees,
+    touched_blocks,
+)
+from ledgerlens.session import materialise, table_folder
 from ledgerlens.sources.tables import distinct_transactions, table
 
 SIDES = {"sender": "Sender_account", "receiver": "Receiver_account"}
@@ -56,37 +66,65 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
     return daily(_tx(spark, folder, "Date", "Sender_account", "amount_local_npr"))
 
 
+def _trees(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_trees(_daily(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The earliest day of the highest 30-day total, and of the first 7 days without a transaction."""
-    found = peaks_and_lapses(_daily(spark, folder))
+    found = peaks_and_lapses(_trees(spark, folder))
     return found.select(F.col("entity").alias("Sender_account"), F.date_format("day", "yyyy-MM-dd").alias("day"), "day_kind")
 
 
-def p5_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """Trailing 7- and 30-day totals, averages and counts for every sender and day."""
-    rolled = rolling_totals(_daily(spark, folder))
+def _rolled(rolled: DataFrame) -> DataFrame:
     rounded = [c for k in (7, 30) for c in (F.round(f"total_{k}", 2).alias(f"total_{k}"), F.round(F.round(f"total_{k}", 2) / k, 4).alias(f"avg_{k}"))]
     return rolled.select(F.col("entity").alias("Sender_account"), F.date_format("day", "yyyy-MM-dd").alias("day"), *rounded, "n_7", "n_30")
 
 
+def p5_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """Trailing 7- and 30-day totals, averages and counts for every sender and day."""
+    return _rolled(rolling_totals(_trees(spark, folder)))
+
+
 def p5_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """The segment trees as they are kept for late corrections."""
-    return segment_trees(_daily(spark, folder))
+    """The nodes of the segment trees, a row each."""
+    nodes = F.inline(F.arrays_zip("nodes", "sums", "counts")).alias("node", "total", "n")
+    return _trees(spark, folder).select(F.col("entity").alias("Sender_account"), "shard", nodes).withColumn("total", F.round("total", 2))
 
 
-def p5_corrected(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals per sender from the trees' roots, after transactions that arrived more than a week late were added as corrections."""
+def _on_time_and_late(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Days of the transactions that arrived within a week, and of those that came later."""
     tx = _tx(spark, folder, "Date", "Sender_account", "amount_local_npr", "ingested_at")
     late = F.coalesce(F.datediff("ingested_at", "day") > 7, F.lit(False))
-    trees = correct(segment_trees(daily(tx.where(~late))), daily(tx.where(late)))
-    roots = trees.select("entity", F.element_at("sums", 2).alias("total"), F.element_at("counts", 2).alias("n"))  # node 1
+    return daily(tx.where(~late)), daily(tx.where(late))
+
+
+def p5_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals per sender from the trees' roots, after transactions that arrived more than a week late were added as corrections."""
+    on_time, late = _on_time_and_late(spark, folder)
+    trees = correct(segment_trees(on_time), late).where("size(nodes) > 0")
+    roots = trees.select("entity", F.element_at("sums", 1).alias("total"), F.element_at("counts", 1).alias("n"))  # node 1 comes first
     return roots.groupBy(F.col("entity").alias("Sender_account")).agg(F.round(F.sum("total"), 2).alias("total"), F.sum("n").alias("n"))
 
 
+def p5_rolling_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_rolling by way of late corrections: trees of what came in time are kept and answered, the late transactions correct them in place, and only the blocks they reach are answered again."""
+    on_time, late = _on_time_and_late(spark, folder)
+    late = materialise(late)
+    first, kept = (table_folder(spark, x) for x in ("trees-on-time", "trees"))
+    keep_trees(segment_trees(on_time), first)
+    before = kept_trees(spark, first)
+    keep_trees(before, kept)
+    correct_kept(spark, kept, late)
+    after = kept_trees(spark, kept)
+    touched = materialise(touched_blocks(before, after, late))
+    return _rolled(rolling_totals(before, without=touched).unionByName(rolling_totals(after, only=touched)))
+
+
 QUERIES = {
     "p5_corrected": p5_corrected, "p1_found": p1_found, "p1_account_totals": p1_account_totals,
     "p4_found": p4_found, "p4_features": p4_features, "p4_feature_rows": p4_feature_rows,
-    "p5_found": p5_found, "p5_rolling": p5_rolling, "p5_trees": p5_trees,
+    "p5_found": p5_found, "p5_rolling": p5_rolling, "p5_rolling_corrected": p5_rolling_corrected, "p5_trees": p5_trees,
 }
 
 _TX = "tx AS (SELECT DISTINCT ON (row_index) * FROM transactions)"
@@ -121,5 +159,9 @@ SELECT side, account_id, count(*) AS n_tx, round(sum(CASE WHEN a IS NULL OR isna
 SELECT Sender_account, strftime(min(day), '%Y-%m-%d') AS day, 'peak_30' AS day_kind FROM best WHERE total_30 = most GROUP BY 1
 UNION ALL SELECT Sender_account, strftime(min(day), '%Y-%m-%d'), 'lapse_7' FROM best WHERE n_7 = 0 GROUP BY 1""",
     "p5_corrected": f"WITH {_DAYS} SELECT Sender_account, round(sum(total), 2) AS total, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1",
+    "p5_trees": f"""WITH {_DAYS}, x AS (SELECT Sender_account, total, n, date_diff('day', DATE '1970-01-01', day) AS u FROM d)
+SELECT Sender_account, CAST(floor(u / 64.0) AS INTEGER) AS shard, CAST((64 + u - 64 * CAST(floor(u / 64.0) AS BIGINT)) >> level AS INTEGER) AS node, round(sum(total), 2) AS total, CAST(sum(n) AS BIGINT) AS n
+FROM x, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS level) GROUP BY 1, 2, 3""",
     "p5_rolling": f"WITH {_DAYS} SELECT Sender_account, strftime(day, '%Y-%m-%d') AS day, total_7, avg_7, total_30, avg_30, n_7, n_30 FROM rolled",
 }
+ORACLES["p5_rolling_corrected"] = ORACLES["p5_rolling"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,29 +30,44 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Where lineage is cut: the folder the caller has set, or the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset, and on one machine, as in tests, a temporary folder is chosen.
+    Only where both are unset, and on one machine, as in tests, a temporary folder is
+    chosen; it goes when the driver ends.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and context.master.partition("[")[0] != "local":
             raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="ledgerlens-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def table_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder for a table that later steps read and correct."""
+    return f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, whose Python need not have it on its path; once per application."""
     context = spark.sparkContext
     package = Path(__file__).resolve().parent
     if getattr(context, "_ledgerlens_shipped", False):
         return
-    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-package-"), "ledgerlens.zip")  # read by the driver, which serves it
+    folder = tempfile.mkdtemp(prefix="ledgerlens-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "ledgerlens.zip")  # read by the driver, which serves it
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, str(Path(package.name) / file.relative_to(package)))

@@ -133,16 +133,14 @@ def brute_rolling(data):
     return out
 
 
-def test_rolling(spark, data):
-    days = rolling.daily(tx(spark, data, "Date", "Sender_account", "amount_local_npr"))
-    want = brute_rolling(data)
-    got = {(r[0], r[1].toordinal() - 719163): r for r in rolling.rolling_totals(days).collect()}
+def check_rolling(trees, want):
+    got = {(r[0], r[1].toordinal() - 719163): r for r in rolling.rolling_totals(trees).collect()}
     assert got.keys() == want.keys()
     for k, ((t7, n7), (t30, n30)) in want.items():
         r = got[k]
         assert (r["n_7"], r["n_30"]) == (n7, n30)
         assert r["total_7"] == pytest.approx(t7) and r["total_30"] == pytest.approx(t30) and r["avg_7"] == pytest.approx(t7 / 7) and r["avg_30"] == pytest.approx(t30 / 30)
-    peaks = {(r[0], r[2]): r[1].toordinal() - 719163 for r in rolling.peaks_and_lapses(days).collect()}
+    peaks = {(r[0], r[2]): r[1].toordinal() - 719163 for r in rolling.peaks_and_lapses(trees).collect()}
     for s in {k[0] for k in want}:
         own = sorted((d, v) for (a, d), v in want.items() if a == s)
         top = max(round(v[1][0], 2) for _, v in own)
@@ -150,26 +148,108 @@ def test_rolling(spark, data):
         assert peaks.get((s, "lapse_7")) == next((d for d, v in own if not v[0][1]), None)
 
 
+def test_rolling(spark, data):
+    days = rolling.daily(tx(spark, data, "Date", "Sender_account", "amount_local_npr"))
+    check_rolling(rolling.segment_trees(days), brute_rolling(data))
+
+
+def wide():
+    """Senders with gaps of several shards, totals below zero, days before 1970, one day only."""
+    rnd = random.Random(8)
+    dates = [datetime.date(1969, 12, 1) + datetime.timedelta(days=rnd.choice([rnd.randint(0, 90), rnd.randint(0, 900)])) for _ in range(60)]
+    out = [(i, str(d), rnd.choice([1, 2, 3, 4]), None, rnd.choice([-5.0, -2.0, 1.0, 3.0]), "A", 0.5, "x", 3, "y", "z") for i, d in enumerate(dates)]
+    return out + [(900, "2024-01-01", 9, None, -4.0, "A", 0.5, "x", 3, "y", "z"), (901, "2024-01-01", 10, None, -4.0, "A", 0.5, "x", 3, "y", "z"), (902, "2025-06-01", 10, None, -4.0, "A", 0.5, "x", 3, "y", "z")]
+
+
+def test_rolling_over_gaps(spark):
+    data = wide()
+    check_rolling(rolling.segment_trees(rolling.daily(tx(spark, data, "Date", "Sender_account", "amount_local_npr"))), brute_rolling(data))
+
+
 def test_rolling_of_nothing(spark):
     days = rolling.daily(distinct_transactions(spark.createDataFrame([], SCHEMA), "Date", "Sender_account", "amount_local_npr"))
-    assert rolling.rolling_totals(days).collect() == [] and rolling.peaks_and_lapses(days).collect() == []
+    trees = rolling.segment_trees(days)
+    assert trees.collect() == [] and rolling.rolling_totals(trees).collect() == [] and rolling.peaks_and_lapses(trees).collect() == []
+    assert rolling.correct(trees, days).collect() == [] and rolling.touched_blocks(trees, trees, days).collect() == []
+
+
+def nodes_of(trees):
+    return {(r["entity"], r["shard"]): dict(zip(r["nodes"], zip(r["sums"], r["counts"]))) for r in trees.collect()}
 
 
 def test_late_corrections_change_only_ancestors(spark, data):
     days = rolling.daily(tx(spark, data, "Date", "Sender_account", "amount_local_npr"))
     trees = rolling.segment_trees(days).cache()
-    old = {(r[0], r[1]): r for r in trees.collect()}
+    old = nodes_of(trees)
     (entity, shard), some = next(iter(sorted(old.items())))
     changes = spark.createDataFrame([(entity, shard * rolling.SHARD + 5, 10.0, 1), (77, 3, 4.0, 2)], "entity bigint, day int, total double, n bigint")
-    new = {(r[0], r[1]): r for r in rolling.correct(trees, changes).collect()}
+    new = nodes_of(rolling.correct(trees, changes))
     path = {(5 + rolling.SHARD) >> i for i in range(7)}
-    for i in range(2 * rolling.SHARD):
-        assert new[entity, shard]["sums"][i] == pytest.approx(some["sums"][i] + (10 if i in path else 0))
-        assert new[entity, shard]["counts"][i] == some["counts"][i] + (1 if i in path else 0)
-    assert new[77, 0]["sums"][1] == 4.0 and new[77, 0]["counts"][1] == 2
+    for i in range(1, 2 * rolling.SHARD):
+        a, b = some.get(i, (0, 0)), new[entity, shard].get(i, (0, 0))
+        assert b[0] == pytest.approx(a[0] + (10 if i in path else 0)) and b[1] == a[1] + (1 if i in path else 0)
+    assert new[77, 0][1] == (4.0, 2)
     assert {k: v for k, v in new.items() if k not in ((entity, shard), (77, 0))} == {k: v for k, v in old.items() if k != (entity, shard)}
 
 
+def test_answers_after_kept_trees_are_corrected(spark, tmp_path):
+    """Late rows, rows taken away again, senders that appear, vanish, or whose span grows or shrinks."""
+    data = wide()
+    rnd = random.Random(9)
+    out = [r for r in data if rnd.random() < 0.2]
+    late = [(2000 + i, str(datetime.date(1968, 1, 1) + datetime.timedelta(days=rnd.randint(0, 2500))), rnd.choice([1, 2, 77]), None, 2.0, "A", 0.5, "x", 3, "y", "z") for i in range(8)]
+    gone = [r for r in data if r[2] == 9] + out
+    gone = list({r[0]: r for r in gone}.values())
+    days = rolling.daily(tx(spark, data, "Date", "Sender_account", "amount_local_npr"))
+    plus = rolling.daily(tx(spark, late, "Date", "Sender_account", "amount_local_npr"))
+    minus = rolling.daily(tx(spark, gone, "Date", "Sender_account", "amount_local_npr")).selectExpr("entity", "day", "-total AS total", "-n AS n")
+    changes = plus.unionByName(minus).cache()
+    before = rolling.segment_trees(days).cache()
+    folder = str(tmp_path / "trees")
+    rolling.keep_trees(before, folder)
+    rolling.correct_kept(spark, folder, changes)
+    after = rolling.kept_trees(spark, folder)
+    want = brute_rolling([r for r in data if r not in gone] + late)
+    check_rolling(after, want)
+    touched = rolling.touched_blocks(before, after, changes).cache()
+    both = rolling.rolling_totals(before, without=touched).unionByName(rolling.rolling_totals(after, only=touched))
+    got = [(r["entity"], r["day"].toordinal() - 719163, r["n_7"], r["n_30"], round(r["total_30"], 6)) for r in both.collect()]
+    assert sorted(got) == sorted((s, d, v[0][1], v[1][1], round(v[1][0], 6)) for (s, d), v in want.items())
+
+
+def test_sparse_entities_take_no_memory_by_their_span():
+    """Answers of blocks ten years apart, as one Arrow stream in one process."""
+    import tracemalloc
+
+    import numpy as np
+
+    assert rolling.query_nodes(30).shape == (rolling.SHARD, rolling.query_nodes(30).shape[1]) and rolling.query_nodes(30).max() < 4 * rolling.SHARD
+    tracemalloc.start()
+    nodes = np.zeros((rolling.BLOCKS_AT_ONCE, 4 * rolling.SHARD))
+    for _ in range(3):
+        rolling.range_sums(nodes, rolling.query_nodes(30))
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 30, 63, 64])
+def test_query_nodes(k):
+    import numpy as np
+
+    rnd = np.random.default_rng(k)
+    leaves = rnd.integers(0, 9, 2 * rolling.SHARD)
+    trees = np.zeros((1, 4 * rolling.SHARD), dtype=np.int64)
+    for side, part in ((0, leaves[rolling.SHARD :]), (1, leaves[: rolling.SHARD])):
+        own = np.zeros((1, 2 * rolling.SHARD), dtype=np.int64)
+        rolling.climb(own, np.zeros(rolling.SHARD, dtype=int), np.arange(rolling.SHARD), part)
+        own[0, 0] = 0
+        trees[:, side * 2 * rolling.SHARD : (side + 1) * 2 * rolling.SHARD] = own
+    got = rolling.range_sums(trees, rolling.query_nodes(k))[0]
+    assert got.tolist() == [leaves[rolling.SHARD + i - k + 1 : rolling.SHARD + i + 1].sum() for i in range(rolling.SHARD)]
+    with pytest.raises(ValueError):
+        rolling.query_nodes(rolling.SHARD + 1)
+
+
 def test_rows_without_index_are_no_transactions(spark):
     df = spark.createDataFrame([(None, 1), (1, 2), (1, 2)], "row_index bigint, Sender_account bigint")
     assert rows(distinct_transactions(df, "Sender_account")) == [(1, 2)]
