@@ -61,7 +61,7 @@ def test_dates(spark):
 
 def test_dense_totals(spark, data):
     sides = {"sender": "Sender_account", "receiver": "Receiver_account"}
-    got = dense_totals.dense_key_totals(tx(spark, data, "Sender_account", "Receiver_account", "amount_local_npr", "side", "block", "key"), sides, "amount_local_npr", blocks=3)
+    got = dense_totals.dense_key_totals(tx(spark, data, "Sender_account", "Receiver_account", "amount_local_npr", "side", "block", "key"), sides, "amount_local_npr", fan=2)
     want = defaultdict(lambda: [0, 0.0])
     for r in once(data):
         for side, k in (("sender", r[2]), ("receiver", r[3])):
@@ -73,6 +73,39 @@ def test_dense_totals(spark, data):
     assert heavy == {k for k, (a, _) in want.items() if a >= 0.2 * n and k[1] is not None}
 
 
+def test_reduction_groups_stay_bounded(spark, monkeypatch):
+    """Many splits of many keys: a group of the reduction holds at most about FAN blocks of BLOCK_KEYS slots, NULL and string keys included."""
+    monkeypatch.setattr(dense_totals, "BLOCK_KEYS", 64)
+    summed = dense_totals._sum_blocks
+
+    def watched(schema):
+        run = summed(schema)
+
+        def inner(group):
+            import pyarrow.compute as pc
+
+            slots = sum(pc.list_value_length(group.column("keys")).to_pylist())
+            if slots > 4 * 4 * 64:
+                raise AssertionError(f"{slots} slots in a group")
+            return run(group)
+
+        return inner
+
+    monkeypatch.setattr(dense_totals, "_sum_blocks", watched)
+    df = spark.range(0, 200_000, 1, 40).selectExpr("IF(id % 3 = 0, 7, id % 60000) AS k", "1.0D AS v", "IF(id % 1000 = 0, NULL, concat('k', id % 5)) AS s", "id AS _value")
+    got = dense_totals.dense_key_totals(df, {"a": "k"}, "v", fan=4)
+    want = {r[0]: (r[1], r[2]) for r in df.groupBy("k").agg({"v": "count", "*": "count"}).selectExpr("k", "`count(1)`", "double(`count(v)`)").collect()}
+    assert {r["key"]: (r["n_rows"], r["total"]) for r in got.collect()} == want
+    words = {r["key"]: r["n_rows"] for r in dense_totals.dense_key_totals(df, {"a": "s"}, fan=4).collect()}
+    assert words == {r[0]: r[1] for r in df.groupBy("s").count().collect()}
+
+
+def test_dictionaries_beyond_the_bound_are_given_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dense_totals, "MOST_HELD", 10)
+    df = spark.range(0, 3000, 1, 2).selectExpr("id % 100 AS k")
+    assert {(r["key"], r["n_rows"]) for r in dense_totals.dense_key_totals(df, {"a": "k"}).collect()} == {(i, 30) for i in range(100)}
+
+
 def test_dense_totals_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     got = dense_totals.dense_key_totals(empty, {"sender": "Sender_account"})
