@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -66,19 +66,12 @@ def entity_type_stats(events: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def most_frequent_type(stats: DataFrame) -> DataFrame:
-    """(account_id, account_role, tx_code): the most frequent type; ties go to the latest day, then to the first in the alphabet."""
-    best = F.min_by("tx_code", F.struct(-F.col("n_tx"), -F.datediff("last_day", F.lit("1970-01-01")), F.col("tx_code")))
-    return stats.groupBy("account_id", "account_role").agg(best.alias("tx_code"))
-
-
 ROLES = ("sender", "receiver")
 
 
-def _laid_out(codes: list[str]):
+def _laid_out(width: int, wanted: tuple[str, ...]):
     """Sorted rows of (account_id, cell, n, day, total) to one row per account with dense arrays, a cell being role and type."""
-    width = len(codes)
-    kinds = {"n": pa.int64(), "last": pa.date32(), "score": pa.float64()}
+    kinds = {k: t for k, t in (("n", pa.int64()), ("last", pa.date32()), ("score", pa.float64())) if k in wanted}
     fields = [pa.field("account_id", pa.int64())] + [pa.field(f"{r}_{k}", pa.list_(t)) for r in ROLES for k, t in kinds.items()]
     schema = pa.schema(fields)
 
@@ -112,22 +105,46 @@ def _laid_out(codes: list[str]):
         if len(held[0]):
             yield block(*held)
 
-    return run, "account_id bigint, " + ", ".join(f"{r}_n array<bigint>, {r}_last array<date>, {r}_score array<double>" for r in ROLES)
+    sql = {"n": "bigint", "last": "date", "score": "double"}
+    return run, "account_id bigint, " + ", ".join(f"{r}_{k} array<{sql[k]}>" for r in ROLES for k in kinds)
+
+
+def event_types(tx: DataFrame) -> list[str]:
+    """The complete list of types, sorted, of transactions that count; a repeated delivery adds none, so ``tx`` need not be distinct."""
+    code = normal_code("tx_code").alias("tx_code")
+    codes = tx.where("day IS NOT NULL AND (Sender_account IS NOT NULL OR Receiver_account IS NOT NULL)").select(code).where("tx_code IS NOT NULL")
+    found = sorted(r[0] for r in codes.distinct().limit(MOST_TYPES + 1).collect())
+    if len(found) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types: use entity_type_stats, its long form")
+    return found
 
 
-def feature_table(events: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per account with arrays over the complete, sorted list of types.
+def feature_table(events: DataFrame, codes: list[str], salts: int = SALTS, statistics: tuple[str, ...] = ("n", "last", "score")) -> DataFrame:
+    """One row per account with arrays over ``codes``, the complete, sorted list of types.
 
     Columns: account_id, tx_codes, and for each role ``<role>_n`` (0 where nothing
     happened), ``<role>_last`` (NULL where nothing happened) and ``<role>_score`` (0.0
     likewise). An input without valid events gives no rows. The rows of an account that are
-    laid out together are at most two for each type.
+    laid out together are at most two for each type. statistics: the arrays to give. Events
+    of a type that is not in ``codes`` are an error.
     """
-    codes = [r[0] for r in events.select("tx_code").distinct().orderBy("tx_code").limit(MOST_TYPES + 1).collect()]
-    if len(codes) > MOST_TYPES:
-        raise ValueError(f"more than {MOST_TYPES} event types: use entity_type_stats, its long form")
     every = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
-    cell = F.array_position(every, F.col("tx_code")) - 1 + F.when(F.col("account_role") == ROLES[1], len(codes)).otherwise(0)
-    cells = entity_type_stats(events, salts).select("account_id", cell.alias("cell"), "n_tx", "last_day", "score_total").sortWithinPartitions("account_id")
-    run, schema = _laid_out(codes)
-    return cells.mapInArrow(run, schema).select("account_id", every.alias("tx_codes"), *(f"{r}_{k}" for r in ROLES for k in ("n", "last", "score")))
+    spark = events.sparkSession
+    places = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "tx_code string, place int"))  # at most MOST_TYPES rows
+    place = F.coalesce("place", F.raise_error(F.concat(F.lit("not in the list of types: "), "tx_code")).cast("int"))
+    cell = place + F.when(F.col("account_role") == ROLES[1], len(codes)).otherwise(0)
+    stats = entity_type_stats(events, salts).join(places, "tx_code", "left")
+    cells = stats.select("account_id", cell.alias("cell"), "n_tx", "last_day", "score_total").sortWithinPartitions("account_id")
+    run, schema = _laid_out(len(codes), statistics)
+    return cells.mapInArrow(run, schema).select("account_id", every.alias("tx_codes"), *(f"{r}_{k}" for r in ROLES for k in ("n", "last", "score") if k in statistics))
+
+
+def most_frequent_type(table: DataFrame) -> DataFrame:
+    """(account_id, account_role, tx_code) from a feature table with n and last: the most frequent type of each role; ties go to the latest day, then to the first in the alphabet. A role without events gives no row."""
+
+    def best(role: str) -> Column:
+        cells = F.transform(F.arrays_zip(F.col(f"{role}_n").alias("n"), F.col(f"{role}_last").alias("d")), lambda x, i: F.struct(x["n"].alias("n"), x["d"].alias("d"), (-i).alias("i")))
+        return F.struct(F.lit(role).alias("account_role"), F.array_max(cells).alias("x"))
+
+    found = table.select("account_id", "tx_codes", F.inline(F.array(*map(best, ROLES)))).where("x.n > 0")
+    return found.select("account_id", "account_role", F.element_at("tx_codes", 1 - F.col("x.i")).alias("tx_code"))

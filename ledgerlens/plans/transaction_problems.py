@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.dense_totals import dense_key_totals, heavy_keys
-from ledgerlens.operators.entity_features import entity_type_stats, feature_table, most_frequent_type, role_events
+from ledgerlens.operators.entity_features import entity_type_stats, event_types, feature_table, most_frequent_type, role_events
 from ledgerlens.operators.rolling import (
     correct,
     correct_kept,
@@ -19,7 +19,7 @@ from ledgerlens.operators.rolling import (
     touched_blocks,
 )
 from ledgerlens.session import materialise, table_folder
-from ledgerlens.sources.tables import distinct_transactions, table
+from ledgerlens.sources.tables import distinct_transactions, table, valid_date
 
 SIDES = {"sender": "Sender_account", "receiver": "Receiver_account"}
 HEAVY_SHARE = 0.03
@@ -41,18 +41,35 @@ def p1_account_totals(spark: SparkSession, folder: str) -> DataFrame:
     return totals.where("key IS NOT NULL").select("side", F.col("key").alias("account_id"), F.col("n_rows").alias("n_tx"), F.round("total", 2).alias("total_amount"))
 
 
+_EVENT = ("Date", "Sender_account", "Receiver_account", "tx_code", "tx_score")
+
+
 def _role_events(spark: SparkSession, folder: str) -> DataFrame:
-    return role_events(_tx(spark, folder, "Date", "Sender_account", "Receiver_account", "tx_code", "tx_score"))
+    return role_events(_tx(spark, folder, *_EVENT))
+
+
+def _features(spark: SparkSession, folder: str, *statistics: str) -> DataFrame:
+    codes = event_types(table(spark, folder, "transactions").withColumn("day", valid_date("Date")))
+    return feature_table(_role_events(spark, folder), codes, statistics=statistics)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each account's most frequent transaction code in each role."""
-    return most_frequent_type(entity_type_stats(_role_events(spark, folder)))
+    return most_frequent_type(_features(spark, folder, "n", "last"))
 
 
 def p4_features(spark: SparkSession, folder: str) -> DataFrame:
     """One row per account: number, latest day and score total for every code in both roles, as arrays."""
-    return feature_table(_role_events(spark, folder))
+    return _features(spark, folder, "n", "last", "score")
+
+
+def p4_feature_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The arrays of p4_features as rows, one for every account and code, the empty ones included."""
+    wide = p4_features(spark, folder)
+    columns = [c for c in wide.columns if c != "account_id"]
+    cells = wide.select("account_id", F.inline(F.arrays_zip(*columns)).alias(*columns)).withColumnRenamed("tx_codes", "tx_code")
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("sender_last", "receiver_last")]
+    return cells.select("account_id", "tx_code", "sender_n", "receiver_n", *days, *(F.round(c, 4).alias(c) for c in ("sender_score", "receiver_score")))
 
 
 def p4_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +140,7 @@ def p5_rolling_corrected(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p5_corrected": p5_corrected, "p1_found": p1_found, "p1_account_totals": p1_account_totals,
-    "p4_found": p4_found, "p4_features": p4_features, "p4_feature_rows": p4_feature_rows,
+    "p4_found": p4_found, "p4_features": p4_features, "p4_feature_cells": p4_feature_cells, "p4_feature_rows": p4_feature_rows,
     "p5_found": p5_found, "p5_rolling": p5_rolling, "p5_rolling_corrected": p5_rolling_corrected, "p5_trees": p5_trees,
 }
 
@@ -155,6 +172,10 @@ SELECT side, account_id, count(*) AS n_tx, round(sum(CASE WHEN a IS NULL OR isna
     "p4_found": f"""WITH {_ROLES} SELECT account_id, account_role, tx_code FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id, account_role ORDER BY n_tx DESC, last_day DESC, tx_code) AS rn FROM ev) WHERE rn = 1""",
     "p4_feature_rows": f"WITH {_ROLES} SELECT account_id, account_role, tx_code, n_tx, strftime(last_day, '%Y-%m-%d') AS last_day, round(score_total, 4) AS score_total FROM ev",
+    "p4_feature_cells": f"""WITH {_ROLES}, wide AS (SELECT account_id, tx_code FROM (SELECT DISTINCT account_id FROM ev), (SELECT DISTINCT tx_code FROM ev))
+SELECT w.account_id, w.tx_code, coalesce(a.n_tx, 0) AS sender_n, coalesce(b.n_tx, 0) AS receiver_n, strftime(a.last_day, '%Y-%m-%d') AS sender_last, strftime(b.last_day, '%Y-%m-%d') AS receiver_last,
+  round(coalesce(a.score_total, 0), 4) AS sender_score, round(coalesce(b.score_total, 0), 4) AS receiver_score
+FROM wide w LEFT JOIN (SELECT * FROM ev WHERE account_role = 'sender') a USING (account_id, tx_code) LEFT JOIN (SELECT * FROM ev WHERE account_role = 'receiver') b USING (account_id, tx_code)""",
     "p5_found": f"""WITH {_DAYS}, best AS (SELECT Sender_account, day, total_30, n_7, max(total_30) OVER (PARTITION BY Sender_account) AS most FROM rolled)
 SELECT Sender_account, strftime(min(day), '%Y-%m-%d') AS day, 'peak_30' AS day_kind FROM best WHERE total_30 = most GROUP BY 1
 UNION ALL SELECT Sender_account, strftime(min(day), '%Y-%m-%d'), 'lapse_7' FROM best WHERE n_7 = 0 GROUP BY 1""",

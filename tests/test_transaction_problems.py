@@ -134,9 +134,13 @@ def test_entity_features(spark, data):
     best = {}
     for (a, role, c), (n, d, _) in want.items():
         best.setdefault((a, role), []).append((-n, -d.toordinal(), c))
-    stats = entity_features.entity_type_stats(events)
-    assert {(r[0], r[1]): r[2] for r in entity_features.most_frequent_type(stats).collect()} == {k: min(v)[2] for k, v in best.items()}
-    table = entity_features.feature_table(events).collect()
+    codes = entity_features.event_types(spark.createDataFrame(data, SCHEMA).withColumn("day", valid_date("Date")))
+    assert codes == ["A", "B", "C"]
+    small = entity_features.feature_table(events, codes, 3, ("n", "last"))
+    assert {(r[0], r[1]): r[2] for r in entity_features.most_frequent_type(small).collect()} == {k: min(v)[2] for k, v in best.items()}
+    with pytest.raises(Exception, match="not in the list of types"):
+        entity_features.feature_table(events, ["A", "C"]).collect()
+    table = entity_features.feature_table(events, codes).collect()
     assert {r["account_id"] for r in table} == {k[0] for k in want}
     for r in table:
         assert list(r["tx_codes"]) == ["A", "B", "C"]
@@ -147,8 +151,10 @@ def test_entity_features(spark, data):
 
 def test_entity_features_of_nothing(spark):
     events = entity_features.role_events(distinct_transactions(spark.createDataFrame([], SCHEMA), "Date", "Sender_account", "Receiver_account", "tx_code", "tx_score"))
-    assert entity_features.feature_table(events).collect() == []
-    assert entity_features.most_frequent_type(entity_features.entity_type_stats(events)).collect() == []
+    assert entity_features.event_types(spark.createDataFrame([], SCHEMA).withColumn("day", valid_date("Date"))) == []
+    for codes in ([], ["A"]):
+        table = entity_features.feature_table(events, codes)
+        assert table.collect() == [] and entity_features.most_frequent_type(table).collect() == []
 
 
 def brute_rolling(data):
