@@ -70,17 +70,17 @@ ROLES = ("sender", "receiver")
 
 
 def _laid_out(width: int, wanted: tuple[str, ...]):
-    """Sorted rows of (account_id, cell, n, day, total) to one row per account with dense arrays, a cell being role and type."""
+    """Sorted rows of (account_id, cell, n, and day, total where wanted) to one row per account with dense arrays, a cell being role and type."""
     kinds = {k: t for k, t in (("n", pa.int64()), ("last", pa.date32()), ("score", pa.float64())) if k in wanted}
     fields = [pa.field("account_id", pa.int64())] + [pa.field(f"{r}_{k}", pa.list_(t)) for r in ROLES for k, t in kinds.items()]
     schema = pa.schema(fields)
 
-    def block(account: np.ndarray, cell: np.ndarray, n: np.ndarray, day: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    def block(account: np.ndarray, cell: np.ndarray, *statistics: np.ndarray) -> pa.RecordBatch:
         ids, row = np.unique(account, return_inverse=True)
         at = row * (2 * width) + cell
         size = len(ids) * 2 * width
-        dense = {"n": np.zeros(size, np.int64), "last": np.zeros(size, np.int32), "score": np.zeros(size)}
-        for k, x in (("n", n), ("last", day), ("score", total)):
+        dense = {k: np.zeros(size, x.dtype) for k, x in zip(kinds, statistics)}
+        for k, x in zip(kinds, statistics):
             dense[k][at] = x
         quiet = (dense["n"] == 0).reshape(len(ids), 2, width)
         offsets = pa.array(np.arange(0, len(ids) * width + 1, width, dtype=np.int32))
@@ -93,7 +93,7 @@ def _laid_out(width: int, wanted: tuple[str, ...]):
         return pa.RecordBatch.from_arrays(out, schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.float64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, *({"n": np.int64, "last": np.int32, "score": np.float64}[k] for k in kinds))]
         for batch in batches:
             new = [c.cast(pa.int32()).to_numpy(zero_copy_only=False) if pa.types.is_date(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = [np.concatenate(x) for x in zip(held, new)]
@@ -125,7 +125,7 @@ def feature_table(events: DataFrame, codes: list[str], salts: int = SALTS, stati
     Columns: account_id, tx_codes, and for each role ``<role>_n`` (0 where nothing
     happened), ``<role>_last`` (NULL where nothing happened) and ``<role>_score`` (0.0
     likewise). An input without valid events gives no rows. The rows of an account that are
-    laid out together are at most two for each type. statistics: the arrays to give. Events
+    laid out together are at most two for each type. statistics: the arrays to give, n among them. Events
     of a type that is not in ``codes`` are an error.
     """
     every = F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
@@ -134,7 +134,8 @@ def feature_table(events: DataFrame, codes: list[str], salts: int = SALTS, stati
     place = F.coalesce("place", F.raise_error(F.concat(F.lit("not in the list of types: "), "tx_code")).cast("int"))
     cell = place + F.when(F.col("account_role") == ROLES[1], len(codes)).otherwise(0)
     stats = entity_type_stats(events, salts).join(places, "tx_code", "left")
-    cells = stats.select("account_id", cell.alias("cell"), "n_tx", "last_day", "score_total").sortWithinPartitions("account_id")
+    columns = [c for k, c in (("n", "n_tx"), ("last", "last_day"), ("score", "score_total")) if k in statistics]
+    cells = stats.select("account_id", cell.alias("cell"), *columns).sortWithinPartitions("account_id")
     run, schema = _laid_out(len(codes), statistics)
     return cells.mapInArrow(run, schema).select("account_id", every.alias("tx_codes"), *(f"{r}_{k}" for r in ROLES for k in ("n", "last", "score") if k in statistics))
 
