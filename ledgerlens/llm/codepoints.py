@@ -18,14 +18,19 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-# Letters and signs drawn like another, by code point, grouped by what they look like.
+# Letters and signs drawn like another in the same weight, script by script: what stands for the sign, and the
+# signs that look like it. Left out is whatever a reader can tell: a missing dot or stroke, another height, small capitals
+# of letters that have another small form, bold, raised and circled letters.
 LOOK_ALIKES = {
-    "a": "а", "c": "сϲⅽ", "d": "ԁⅾ", "e": "е", "g": "ɡ", "h": "һ", "i": "іⅰ", "j": "јϳ", "l": "ⅼӏ", "m": "ⅿ", "o": "оοօ", "p": "р", "q": "ԛ",
-    "s": "ѕ", "v": "ѵⅴ", "w": "ԝ", "x": "хⅹ", "y": "у",
-    "A": "АΑᎪꓮ", "B": "ВΒꓐ", "C": "СϹⅭꓚ", "D": "Ⅾꓓ", "E": "ЕΕꓰ", "F": "ꓝ", "G": "ꓖ", "H": "НΗꓧ", "I": "ІΙⅠ", "J": "ЈͿꓙ", "K": "КΚꓗ", "L": "Ⅼꓡ",
-    "M": "МΜⅯꓟ", "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡꓑ", "Q": "Ԛ", "R": "ꓣ", "S": "ЅՏꓢ", "T": "ТΤꓔ", "U": "ꓴ", "V": "ѴⅤꓦ", "W": "Ԝꓪ", "X": "ХΧⅩꓫ",
-    "Y": "ΥҮꓬ", "Z": "Ζꓜ",
-    "-": "‐‑", ".": "․", ":": "∶։꞉", "!": "ǃ", "/": "∕", "μ": "µ",
+    "latin": ("acgosuvwz|!", "ɑᴄɡᴏꜱᴜᴠᴡᴢǀǃ"),
+    "roman numerals": ("cdilmvxCDILMVX", "ⅽⅾⅰⅼⅿⅴⅹⅭⅮⅠⅬⅯⅤⅩ"),
+    "greek": ("copvjABCEHIJKMNOPTXYZμ", "ϲορνϳΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖµ"),
+    "cyrillic": ("acdehijlopqsvwxyyABCEGHIIJKMOPQSTVWXY", "асԁеһіјӏорԛѕѵԝхуүАВСЕԌНІӀЈКМОРԚЅТѴԜХҮ"),
+    "armenian": ("ghnoquOSU:", "ցհոօզսՕՏՍ։"),
+    "coptic": ("copBHIKMNOPCTYX", "ⲥⲟⲣⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ"),
+    "cherokee": ("bdhiABCDEGGHJKLMPRRSSTVWWYYZ", "ᏏᏧᏂᎥᎪᏴᏟᎠᎬᏀᏳᎻᎫᏦᏞᎷᏢᎡᏒᏕᏚᎢᏙᎳᏔᎩᎽᏃ"),
+    "lisu": ("ABCDEFGHIJKLMNOPRSTUVWXYZ", "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ"),
+    "signs": ("--.::/\\|’", "‐‑․∶꞉∕∖∣ʼ"),
 }
 INVISIBLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x2060, 0x2064),
@@ -45,7 +50,7 @@ class Tables:
     """What is joined to each code point: its class, whether it may vanish, and its decomposition with look-alikes replaced."""
 
     def __init__(self) -> None:
-        plain = {ord(x): ord(k) for k, v in LOOK_ALIKES.items() for x in v}
+        plain = {ord(x): ord(k) for plain, alike in LOOK_ALIKES.values() for k, x in zip(plain, alike, strict=True)}
         self.may_vanish = np.zeros(SIZE, dtype=bool)
         for low, high in INVISIBLE:
             self.may_vanish[low : high + 1] = True
@@ -131,46 +136,55 @@ def rebuild(points: np.ndarray, document: np.ndarray, n: int) -> list[str]:
     return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
+@lru_cache(1 << 16)
+def _joins(c: int) -> bool:
+    return bool(_JOINING.match(chr(c)))
+
+
+@lru_cache(1 << 16)
+def _is_picture(c: int) -> bool:
+    return c > 0x7F and bool(_PICTURE.match(chr(c)))
+
+
 def _shown(points: np.ndarray, document: np.ndarray, t: Tables) -> np.ndarray:
     """False where a code point is invisible in its place.
 
     Joiners stay where they change what is drawn (between emoji, after a virama, a
     non-joiner between joining letters), style selectors where they change the style of an
-    emoji, tags after the flag they belong to.
+    emoji, tags after the flag they belong to. One pass over the signs that can go either
+    way: the nearest sign that shows is known on both sides of each.
     """
     keep = ~t.may_vanish[points]
-    hidden = np.flatnonzero(~keep)
     n = len(points)
-    for i in hidden.tolist():
-        c = int(points[i])
-        if c not in (ZWNJ, ZWJ, VS15, VS16) and not 0xE0020 <= c <= 0xE007F:
-            continue
-        p = i - 1
-        while p >= 0 and document[p] == document[i] and t.may_vanish[points[p]] and not keep[p]:
-            p -= 1
-        before = int(points[p]) if p >= 0 and document[p] == document[i] else None
-        if before is None:
+    at = np.arange(n)
+    begins = np.flatnonzero(np.diff(document, prepend=-1))
+    first = begins[np.searchsorted(begins, at, "right") - 1] if n else at
+    before = np.maximum.accumulate(np.where(keep, at, -1)) if n else at
+    after = np.minimum.accumulate(np.where(keep, at, n)[::-1])[::-1] if n else at
+    open_ones = np.flatnonzero(~keep & (np.isin(points, (ZWNJ, ZWJ, VS15, VS16)) | ((points >= 0xE0020) & (points <= 0xE007F))))
+    held = -1  # the last of them that stays
+    for i, c, begin, p, q in zip(*(x.tolist() for x in (open_ones, points[open_ones], first[open_ones], before[open_ones], after[open_ones]))):
+        p = max(p, held)
+        if p < begin:
             continue
-        q = i + 1
-        while q < n and document[q] == document[i] and t.may_vanish[points[q]]:
-            q += 1
-        after = int(points[q]) if q < n and document[q] == document[i] else None
+        left = int(points[p])
+        right = int(points[q]) if q < n and document[q] == document[i] else None
         if c in (VS15, VS16):
-            colourful = bool(_EMOJI_STYLE.match(chr(before)))
-            keep[i] = before > 0x7F and p == i - 1 and (colourful if c == VS15 else not colourful and bool(_PICTURE.match(chr(before))))
+            colourful = bool(_EMOJI_STYLE.match(chr(left)))
+            stays = left > 0x7F and p == i - 1 and (colourful if c == VS15 else not colourful and _is_picture(left))
         elif c in (ZWNJ, ZWJ):
-            base = before
-            if base in (VS15, VS16) and p > 0:
-                base = int(points[p - 1])
-            if t.combining[before] == 9:
-                keep[i] = after is not None and unicodedata.category(chr(after))[0] == "L"
+            base = int(points[p - 1]) if left in (VS15, VS16) and p > begin else left
+            if t.combining[left] == 9:
+                stays = right is not None and unicodedata.category(chr(right))[0] == "L"
             elif c == ZWJ:
-                picture = bool(_PICTURE.match(chr(base))) or 0x1F3FB <= base <= 0x1F3FF
-                keep[i] = base > 0x7F and picture and after is not None and after > 0x7F and bool(_PICTURE.match(chr(after)))
+                stays = right is not None and (_is_picture(base) or 0x1F3FB <= base <= 0x1F3FF) and _is_picture(right)
             else:
-                keep[i] = after is not None and bool(_JOINING.match(chr(before))) and bool(_JOINING.match(chr(after)))
+                stays = right is not None and _joins(left) and _joins(right)
         else:
-            keep[i] = before == TAG_BASE or (0xE0020 <= before <= 0xE007F and bool(keep[p]))
+            stays = left == TAG_BASE or 0xE0020 <= left <= 0xE007F
+        if stays:
+            keep[i] = True
+            held = i
     return keep
 
 

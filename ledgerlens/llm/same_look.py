@@ -73,8 +73,17 @@ def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
     return both.where("a <> b").select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2")).distinct()
 
 
-def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id): each document that shows something with the least key of its form."""
-    rows = form_digests(documents, key, text)
-    least = rows.groupBy("form").agg(F.min(key).alias("class_id"))
-    return rows.join(least.hint("merge"), "form").select(key, "class_id")
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """(key, class_id, n_documents, n_strings): each document that shows something with the least key of its form, and how many documents and different strings the form has.
+
+    Rows with a NULL key are left out; repeated rows count once. The forms are made once.
+    Classes are counted from partial counts of their strings; documents are spread over
+    salts where they meet their class, so a form of a third of all rows is no single task.
+    """
+    rows = materialise(form_digests(documents, key, text).distinct())
+    strings = rows.groupBy("form", "string").agg(F.min(key).alias("least"))
+    documents_of = rows.select("form", key).distinct().groupBy("form").agg(F.count("*").alias("n_documents"))
+    classes = strings.groupBy("form").agg(F.min("least").alias("class_id"), F.count("*").alias("n_strings")).join(documents_of.hint("merge"), "form")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    own = rows.select("form", key).distinct().withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    return own.join(classes.withColumn("salt", every).hint("merge"), ["form", "salt"]).select(key, "class_id", "n_documents", "n_strings")

@@ -55,9 +55,13 @@ def test_found(spark):
 
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     docs, items = corpus()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    whole = sorted(map(tuple, leaks.leaks(d, i).collect()))
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 1500)
-    got = leaks.leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    got = leaks.leaked_items(d, i)
     assert {tuple(r) for r in got.collect()} == brute(docs, items)
+    assert sorted(map(tuple, leaks.leaks(d, i).collect())) == whole and len(whole) > 20
+    assert leaks.leaks(d.limit(0), i).collect() == []
 
 
 def test_reordered_passage(spark):
@@ -73,8 +77,50 @@ def test_tiles_do_not_overlap():
     import numpy as np
 
     d, p = np.array([1, 2, 3, 4, 5, 6, 9, 1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 5, 6])
-    starts = [(i, j) for i in range(8) for j in range(2) if (d[i : i + 5] == p[j : j + 5]).all() and len(d[i : i + 5]) == 5]
-    assert leaks.tile(d, p, starts) == [(0, 0, 6)]
+    assert leaks.tile(d, p) == [(0, 0, 6)]
+
+
+def greedy(d, p, least):
+    """Greedy string tiling as it is defined."""
+    out, left_d, left_p = [], [True] * len(d), [True] * len(p)
+    while True:
+        best = None
+        for j in range(len(p)):
+            for i in range(len(d)):
+                n = 0
+                while i + n < len(d) and j + n < len(p) and d[i + n] == p[j + n] and left_d[i + n] and left_p[j + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (i, j, n)
+        if best is None:
+            return out
+        out.append(best)
+        for x in range(best[2]):
+            left_d[best[0] + x] = left_p[best[1] + x] = False
+
+
+def test_tiles_against_the_definition():
+    import numpy as np
+
+    rnd = random.Random(11)
+    for _ in range(150):
+        k = rnd.choice([1, 2, 3, 6])
+        d, p = ([rnd.randint(1, k) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        if rnd.random() < 0.5 and len(p) > 12:
+            d = d[:10] + p[6:] + d[10:15] + p[:6]
+        least = rnd.choice([2, 3, 5])
+        assert leaks.tile(np.array(d, dtype=np.uint64), np.array(p, dtype=np.uint64), least) == greedy(d, p, least)
+
+
+def test_a_million_repeated_words(spark):
+    """No product of places: a table of a million zeros against passages that repeat themselves."""
+    import time
+
+    docs = [(1, "0 " * 1_000_000, 0, ""), (2, "0 1 " * 200_000, 0, "")]
+    items = [(1, "0 " * 2000, None, 0), (2, None, "1 0 " * 1000, 0), (3, "1 1 " * 1000, None, 0)]
+    began = time.time()
+    got = sorted((r["doc_id"], r["item_id"], r["n_tiles"], r["longest"]) for r in leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect())
+    assert got == [(1, 1, 1, 2000), (2, 2, 1, 2000)] and time.time() - began < 60
 
 
 def test_nothing(spark):
