@@ -130,6 +130,26 @@ def adjusted_budget(ordered: Column, base: float = BASE, kl: Column | None = Non
     return F.round(F.greatest(F.least(total + base, F.lit(HIGHEST)), F.lit(LOWEST)), 4)
 
 
+def shadow_evaluation(rows: DataFrame, reference: DataFrame, group: str, key: str, k: int = 50, least: int = 200, score: str = "score", label: str = "label", budget_mean: float | None = None) -> DataFrame:
+    """(group, n, precision, kl, budget, escalate, moves_reference): each group's held-out rows judged by their best ``k``.
+
+    reference: a histogram (bin, p) the scores are compared with. escalate where precision
+    is more than 0.05 below the budget that goes with the divergence; otherwise the group's
+    scores may move the reference. A group of fewer than ``least`` rows is not evaluated
+    (NULL). Ranks are limited before the exchange, so a large group is no single task.
+    """
+    known = rows.where(F.col(score).isNotNull() & F.col(group).isNotNull())
+    best = known.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), key))).where(F.col("_r") <= k)
+    hits = best.groupBy(group).agg(F.sum(label).alias("_hits"))
+    sizes = known.groupBy(group).agg(F.count("*").alias("n"))
+    bins = histogram(known, score, group)
+    kl = bins.join(F.broadcast(reference.select("bin", F.col("p").alias("q"))), "bin").groupBy(group).agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))  # BINS rows
+    out = sizes.join(hits, group).join(kl, group, "left").withColumn("precision", F.when(F.col("n") >= least, F.col("_hits") / F.least(F.col("n"), F.lit(k))))
+    asked = budget(F.lit(budget_mean).cast("double"), F.coalesce("kl", F.lit(0.0)))
+    out = out.withColumn("budget", asked).withColumn("escalate", F.col("precision") < F.col("budget") - 0.05)
+    return out.select(group, "n", "precision", "kl", "budget", "escalate", (~F.col("escalate")).alias("moves_reference"))
+
+
 def clean_scores(df: DataFrame, score: str = "score") -> DataFrame:
     """NaN as the median of the others; where an infinite score is left, all clipped to 0..1. Where there was a NaN, infinities have become finite by then and clip alike."""
     median = quantiles(df, score, [0.5])[0]

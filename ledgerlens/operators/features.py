@@ -183,18 +183,22 @@ def temporal_split(tx: DataFrame, train: float = 0.6, validation: float = 0.2) -
     """split: rows by (day, tm, row_index), cut at the shares' row numbers; rows without a day come last.
 
     Row numbers are global but no task sorts all rows: rows are counted per day and hour,
-    inside an hour per time and stretch of row_index, and numbered inside that.
+    inside an hour per time (at most as many as it has seconds), inside a time per stretch
+    of row_index, and numbered inside that, so neither undated rows nor those without a
+    time are one task.
     """
     day, tm = F.coalesce(F.unix_date("day"), F.lit(2**31 - 1)), F.coalesce("tm", F.lit("~"))
     placed = tx.withColumns({"_d": day, "_t": tm, "_s": F.substring(tm, 1, 2), "_h": F.floor(F.col("row_index") / SHARD_ROWS)})
     parts = placed.groupBy("_d", "_s", "_t", "_h").agg(F.count("*").alias("_c"))
     hours = parts.groupBy("_d", "_s").agg(F.sum("_c").alias("_c"))
     hours = hours.select("_d", "_s", F.coalesce(F.sum("_c").over(W.orderBy("_d", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b0"), F.sum("_c").over(W.partitionBy()).alias("_all"))  # a row per hour
-    inner = F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s").orderBy("_t", "_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_b1", inner).join(hours, ["_d", "_s"]).drop("_c")
+    times = parts.groupBy("_d", "_s", "_t").agg(F.sum("_c").alias("_c"))
+    times = times.withColumn("_b1", F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s").orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    inner = F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s", "_t").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_b2", inner).join(times, ["_d", "_s", "_t"]).join(hours, ["_d", "_s"]).drop("_c")
     own = F.row_number().over(W.partitionBy("_d", "_s", "_t", "_h").orderBy("row_index"))
     joined = placed.withColumn("_in", own).join(parts, ["_d", "_s", "_t", "_h"])
-    at = F.col("_b0") + F.col("_b1") + F.col("_in") - 1
+    at = F.col("_b0") + F.col("_b1") + F.col("_b2") + F.col("_in") - 1
     cut_1, cut_2 = F.floor(F.col("_all") * F.lit(float(train))), F.floor(F.col("_all") * F.lit(train + validation))
     split = F.when(at < cut_1, "train").when(at < cut_2, "validation").otherwise("test")
     return joined.withColumn("split", split).select(*tx.columns, "split")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import in_order, quantiles
+from ledgerlens.session import materialise
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "row_index") -> DataFrame:
@@ -56,24 +58,70 @@ def score_stats(df: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def bootstrap_precision(df: DataFrame, k: int, replicates: int = 200, seed: int = 42, score: str = "score", label: str = "label", key: str = "row_index") -> DataFrame:
-    """One row: mean and 2.5/97.5 percentiles of precision at k over Poisson(1) resamples drawn from a hash of key and replicate.
+#: The measures of a ranking that are told together, each at its places.
+BUNDLE = (("precision", (10, 50, 100)), ("recall", (50, 100)), ("ndcg", (50, 100)), ("lift", (50,)))
 
-    The k heaviest rows of a resample lie among the best 4k + 100 rows of the data but for
-    a chance below 1e-40 from k = 50 on; only those are resampled.
+
+def bundle(df: DataFrame, score: str = "score", label: str = "label", key: str = "row_index") -> DataFrame:
+    """One row: precision_10/50/100, recall_50/100, ndcg_50/100, lift_50 and average_precision."""
+    tables = {k: at_k(df, k, score, label, key) for k in sorted({k for _, ks in BUNDLE for k in ks})}
+    one = average_precision(df, score, label)
+    return one.select(*(tables[k].select(name).scalar().alias(f"{name}_{k}") for name, ks in BUNDLE for k in ks), "average_precision")
+
+
+def truth_and_score(df: DataFrame, truth: tuple[str, ...] = ("is_suspicious_tx", "label"), score: tuple[str, ...] = ("predicted_score", "risk_score", "ml_score", "score", "tx_score")) -> DataFrame:
+    """df with label and score from the first of the named columns that it has; an error where it has none, as nothing is made up."""
+    found = []
+    for wanted, names in (("label", truth), ("score", score)):
+        there = [c for c in names if c in df.columns]
+        if not there:
+            raise ValueError(f"no column for {wanted}: none of {', '.join(names)}")
+        found.append(F.col(there[0]).alias(wanted))
+    return df.select(*(c for c in df.columns if c not in ("label", "score")), *found)
+
+
+def precision_of_sample(used: Column, label: Column, place: Column, k: int) -> Column:
+    """Of the ``k`` places of a resample, ``used`` of them by one row: the row's part of precision at k. place: the first of its places."""
+    return used * label / k
+
+
+def dcg_of_sample(used: Column, label: Column, place: Column, k: int) -> Column:
+    """The row's part of the discounted gain at k: the sum over its places."""
+    places = F.sequence(place, place + F.greatest(used - 1, F.lit(0)))
+    return F.when(used > 0, label * F.aggregate(places, F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))).otherwise(0.0)
+
+
+def bootstrap(df: DataFrame, k: int, metric: Callable[[Column, Column, Column, int], Column] = precision_of_sample, replicates: int = 500, seed: int = 42,
+              score: str = "score", label: str = "label", key: str = "row_index") -> DataFrame:
+    """One row: mean and 2.5/97.5 percentiles of a ranking metric at k over Poisson(1) resamples drawn from a hash of key and replicate.
+
+    metric: a row's part of the metric from the number of its copies among the first k
+    places, its label, its first place and k; the parts add up. The first k places of a
+    resample are filled by the best rows until their drawn weights reach k. Only as many of
+    the best rows are drawn as every replicate needs: a stretch that turns out too short is
+    doubled, up to all rows, so the result is that of all rows whatever k is.
     """
-    best = top(df, 4 * k + 100, score, key)
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total, p = F.lit(0), 0.0, math.exp(-1)
-    for i in range(1, 9):
-        total += p
-        weight = F.when(u >= total, i).otherwise(weight)
-        p /= i
-    drawn = best.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    before = F.coalesce(F.sum("w").over(W.partitionBy("b").orderBy("_rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    used = drawn.withColumn("u", F.greatest(F.least(F.col("w"), F.lit(k) - before), F.lit(0)))
-    each = used.groupBy("b").agg((F.sum(F.col("u") * F.col(label)) / k).alias("p"))
-    return each.agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.025)).alias("low"), F.percentile("p", F.lit(0.975)).alias("high"))  # a row per replicate
+    need, n = 4 * k + 100, df.where(F.col(score).isNotNull()).count()
+    while True:
+        best = top(df, min(need, max(n, 1)), score, key)
+        u = (F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        weight, total, p = F.lit(0), 0.0, math.exp(-1)
+        for i in range(1, 20):  # beyond, a Poisson(1) weight has a chance below 2**-40, the grain of u
+            total += p
+            weight = F.when(u >= total, i).otherwise(weight)
+            p /= i
+        drawn = best.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+        before = F.coalesce(F.sum("w").over(W.partitionBy("b").orderBy("_rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        used = drawn.withColumn("_before", before).withColumn("u", F.greatest(F.least(F.col("w"), F.lit(k) - F.col("_before")), F.lit(0)))
+        part = metric(F.col("u"), F.col(label), F.col("_before") + 1, k)
+        each = materialise(used.groupBy("b").agg(F.sum(part).alias("p"), F.sum("u").alias("filled")))  # a row per replicate
+        if need >= n or not each.where(F.col("filled") < k).limit(1).count():
+            return each.agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.025)).alias("low"), F.percentile("p", F.lit(0.975)).alias("high"))
+        need *= 2
+
+
+def bootstrap_precision(df: DataFrame, k: int, replicates: int = 500, seed: int = 42, score: str = "score", label: str = "label", key: str = "row_index") -> DataFrame:
+    return bootstrap(df, k, precision_of_sample, replicates, seed, score, label, key)
 
 
 def map_difference(one: DataFrame, other: DataFrame, key: str = "id", outer: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.drift import budget
+
 MOST_PATHS = 1000
 
 
@@ -38,5 +40,9 @@ def recalibrated(paths: DataFrame, estimates: DataFrame, tolerance: float = 0.05
 
 
 def evidence(paths: DataFrame, least: float = 0.60) -> DataFrame:
-    """One row: number of paths, the lowest precision, and whether all reach ``least``."""
-    return paths.agg(F.count("*").alias("n_paths"), F.min("precision").alias("min_precision"), F.bool_and(F.col("precision") >= least).alias("all_reach"))
+    """One row: number of paths, the lowest precision (0 without a path), whether all reach ``least``, whether all are below it, and the budget that goes with their mean."""
+    found = paths.agg(
+        F.count("*").alias("n_paths"), F.coalesce(F.min("precision"), F.lit(0.0)).alias("min_precision"), F.bool_and(F.col("precision") >= least).alias("all_reach"),
+        F.bool_and(F.col("precision") < least).alias("all_below"), F.avg("precision").alias("_mean"),
+    )
+    return found.withColumn("budget", budget(F.col("_mean"), F.lit(0.0))).drop("_mean")

@@ -158,6 +158,18 @@ def fusion_gain(spark, folder):
     return metrics.improvement(metrics.at_k(rows, K, "score"), metrics.at_k(rows, K, "fused"), "precision").select("metric", *_r("before", "after", "gain"), "enough")
 
 
+def report(sections: dict, wanted: tuple[str, ...]):
+    """One table (section, measure, value) of the evaluations that are wanted; an error names those that were not run."""
+    missing = [n for n in wanted if sections.get(n) is None]
+    if missing:
+        raise RuntimeError(f"not evaluated yet: {', '.join(missing)}")
+    out = None
+    for name in wanted:
+        one = sections[name].select("section", "x.measure", "x.value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _training_graph(spark, folder, split):
     """Graph features of the edges before the last day of the training split; edges have no time, so that day's could be later than the boundary."""
     end = split.where("split = 'train'").agg(F.max("day")).scalar()

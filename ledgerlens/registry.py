@@ -11,6 +11,8 @@ _CORE = (
     "ledgerlens.plans.risk_queries",
     "ledgerlens.plans.report_queries",
     "ledgerlens.plans.study_queries",
+    "ledgerlens.plans.source_queries",
+    "ledgerlens.plans.measure_queries",
 )
 
 

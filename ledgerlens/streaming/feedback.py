@@ -33,10 +33,14 @@ def kept_in_order(feedback: DataFrame) -> DataFrame:
     return rows.join(before, ["path_id", "file", "_b"]).withColumn("_newest", newest).where("_newest IS NULL OR ts >= _newest").drop("_b", "_before", "_newest")
 
 
+def last_rows(kept: DataFrame, n: int = WINDOW) -> DataFrame:
+    """Each path's last ``n`` rows by arrival, with _a counting back from the newest; ranks are limited before the exchange."""
+    return kept.withColumn("_a", F.row_number().over(W.partitionBy("path_id").orderBy(F.desc("file"), F.desc("row")))).where(F.col("_a") <= n)
+
+
 def online_precision(kept: DataFrame) -> DataFrame:
     """(path_id, n, precision): over each path's last ``WINDOW`` rows the share of labels among the ``BEST`` highest scores, ties by arrival; NULL below ``LEAST`` rows."""
-    last = kept.withColumn("_a", F.row_number().over(W.partitionBy("path_id").orderBy(F.desc("file"), F.desc("row")))).where(F.col("_a") <= WINDOW)
-    ranked = last.withColumn("_s", F.row_number().over(W.partitionBy("path_id").orderBy(F.desc("score"), F.desc("_a"))))
+    ranked = last_rows(kept).withColumn("_s", F.row_number().over(W.partitionBy("path_id").orderBy(F.desc("score"), F.desc("_a"))))
     return ranked.groupBy("path_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("_s") <= BEST, F.col("label"))).alias("_p")).select(
         "path_id", "n", F.when(F.col("n") >= LEAST, F.col("_p")).alias("precision")
     )

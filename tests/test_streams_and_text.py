@@ -12,7 +12,7 @@ from ledgerlens.operators import drift, fusion, learned
 from ledgerlens.operators.ordering import in_order, quantiles
 from ledgerlens.sources.files import read, read_reports, reports_or_demo
 from ledgerlens.streaming import feedback as fb
-from ledgerlens.streaming.hysteresis import Health, health_states, step, stream_states
+from ledgerlens.streaming.hysteresis import Health, health_states, move, step, stream_states, trigger, unhealthy
 
 
 def feedback_rows(n=900, seed=3):
@@ -77,6 +77,48 @@ def test_hysteresis():
     assert h.state == "DEGRADED"
 
 
+def plain_states(times, bad):
+    """The rule, one observation after another."""
+    state, b, g, switches, until, out = "HEALTHY", 0, 0, [], 0.0, []
+    for at, x in zip(times, bad):
+        if state == "COOLDOWN" and at < until:
+            out.append((state, False))
+            continue
+        if state == "COOLDOWN":
+            state, b, g = "DEGRADED", 0, 0
+        b, g = (b + 1, 0) if x else (0, g + 1)
+        new = "DEGRADED" if state == "HEALTHY" and b >= 2 else "HEALTHY" if state == "DEGRADED" and g >= 3 else state
+        changed = new != state
+        state = new
+        if changed:
+            switches = [t for t in switches if at - t <= 300] + [at]
+            if len(switches) > 3:
+                state, until = "COOLDOWN", at + 300
+        out.append((state, changed))
+    return out
+
+
+def test_jumps_against_the_rule():
+    rnd = random.Random(12)
+    for _ in range(200):
+        n = rnd.randint(0, 300)
+        times = np.cumsum([rnd.choice([0.0, 1.0, 5.0, 40.0]) for _ in range(n)])
+        share = rnd.choice([0.1, 0.5, 0.6, 0.9])
+        bad = np.array([rnd.random() < share for _ in range(n)], dtype=bool)
+        h, got = Health(), []
+        cut = sorted(rnd.randint(0, n) for _ in range(3))
+        for a, b in zip([0, *cut], [*cut, n]):
+            state, switched = move(h, times[a:b], bad[a:b])
+            got += zip(state.tolist(), switched.tolist())
+        assert got == plain_states(times.tolist(), bad.tolist())
+
+
+def test_unhealthy_and_trigger(spark):
+    df = spark.createDataFrame([(9000.0, 0.9, 0.05), (50.0, 0.01, 1.0), (None, 0.6, None), (5000.0, 0.5, 0.2), (None, None, None)], "l double, k double, t double")
+    got = [tuple(r) for r in df.select(unhealthy("l", "k", "t"), trigger("l", "k", "t")).collect()]
+    assert got == [(True, "heartbeat_latency_ms=9000.0; kl_divergence=0.9000; throughput_ratio=0.0500"), (False, "within_bounds"), (True, "kl_divergence=0.6000"), (False, "within_bounds"), (False, "within_bounds")]
+
+
 def test_hysteresis_batch_and_stream(spark, tmp_path):
     rnd = random.Random(1)
     data = [(c, datetime.datetime(2025, 1, 1) + datetime.timedelta(seconds=7 * i), rnd.random() < 0.5) for c in "ab" for i in range(60)]
