@@ -59,9 +59,9 @@ def latest_transactions(spark, folder):
     return network.latest(transactions(spark, folder).where("day IS NOT NULL"), 500, "day", "row_index").select("row_index")
 
 
-def graph_assertions(spark, folder):
+def graph_assertions(spark, folder, rounds=None):
     e = materialise(edges(spark, folder))
-    ranks = materialise(flow.td_pagerank(e, HALF_LIFE))
+    ranks = materialise(flow.td_pagerank(e, HALF_LIFE, rounds=rounds))
     return network.assertions(e, network.single_weights(e, HALF_LIFE), ranks, HALF_LIFE)
 
 
@@ -137,13 +137,13 @@ def network_weights(spark, folder):
     return out.select("id", *(F.round(F.col("w")[i], 6).alias(n) for i, n in enumerate(fusion.NAMES)), F.round("penalty", 6).alias("penalty"))
 
 
-def adaptive_fusion(spark, folder):
+def adaptive_fusion(spark, folder, rounds=None):
     """Each transaction's score, its sender's place in the graph and its rule points, weighted by how isolated the sender is; static weights where the sender is not in the graph."""
     simple = materialise(graph.last_edges(edges(spark, folder)))
     d = graph.degrees(simple).join(graph.ego_to_three(simple), "id")
     n = F.col("in_degree") + F.col("out_degree")
     raised = d.withColumn("w", fusion.isolated(fusion.pack(F.lit(0.5), F.lit(0.3), F.lit(0.2)), 1 / (1 + n)))
-    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes"))).join(flow.pagerank(simple.withColumnRenamed("amount", "weight")), "id")
+    held = raised.withColumn("w", fusion.floored(F.col("w"), F.col("ego_nodes"))).join(flow.pagerank(simple.withColumnRenamed("amount", "weight"), rounds=rounds), "id")
     vertex = fusion.minmax(materialise(held.select("id", "w", "rank")), "rank", "place").select("id", "w", "place")
     tx = fusion.apply_rules(features.behaviour(transactions(spark, folder)), TX_RULES)
     joined = tx.join(vertex.withColumnRenamed("id", "s"), "s", "left")
@@ -151,9 +151,9 @@ def adaptive_fusion(spark, folder):
     return joined.select("row_index", F.round(fused, 6).alias("fused"), F.round(risk.confidence(F.coalesce("score", F.lit(0.0))), 6).alias("confidence"))
 
 
-def fusion_gain(spark, folder):
+def fusion_gain(spark, folder, rounds=None):
     """Precision of the weighted scores over that of the scores alone."""
-    done = materialise(adaptive_fusion(spark, folder))
+    done = materialise(adaptive_fusion(spark, folder, rounds))
     rows = materialise(transactions(spark, folder).select("row_index", "label", "score").where("score IS NOT NULL").join(done, "row_index"))
     return metrics.improvement(metrics.at_k(rows, K, "score"), metrics.at_k(rows, K, "fused"), "precision").select("metric", *_r("before", "after", "gain"), "enough")
 

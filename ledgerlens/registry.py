@@ -13,6 +13,7 @@ _CORE = (
     "ledgerlens.plans.study_queries",
     "ledgerlens.plans.source_queries",
     "ledgerlens.plans.measure_queries",
+    "ledgerlens.plans.replayed",
 )
 
 
