@@ -4,8 +4,8 @@ Texts are cut where a rolling hash of the last ``WINDOW`` bytes has ``CUT_BITS``
 so a passage copied into another text is cut alike inside. Chunks are brought together by
 digest, each is encoded once, and its ids go back to every place it came from. A chunk is
 cut off from its neighbours, so its ids hold only between its first and its last sync
-point: a change from other signs to white space, where the tokenizer's pattern breaks
-whatever stands around. What lies between the last sync point of a chunk and the first of
+point: a place where the tokenizer's pattern breaks whatever stands around, as before white
+space or between a letter and a sign. What lies between the last sync point of a chunk and the first of
 the next is encoded anew with the joint in its middle, which makes the whole agree with an
 encoding of the whole text exactly.
 """
@@ -32,9 +32,16 @@ WINDOW = 48
 CUT_BITS = 9
 LEAST, MOST = 128, 16_384
 
-#: White space as the pattern knows it. A sync point is between the two signs.
+#: Places of a chunk in one task beyond which it is spread over ``SALTS`` groups.
+HOT, SALTS = 100, 64
+
+#: White space as the pattern knows it; letters, digits and other signs that all Unicode versions class alike (the apostrophe
+#: is none of these: it joins the letters of a contraction).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SYNC = re.compile(f"[^{_BLANK}](?=[{_BLANK}])")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ƿЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
+_OTHER = r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01-\uff0f\uff1a-\uff20"
+#: A sync point is behind a sign that no token can hold together with the next one.
+SYNC = re.compile(f"[^{_BLANK}](?=[{_BLANK}])|[{_LETTER}](?=[{_OTHER}'0-9])|[0-9](?=[{_LETTER}{_OTHER}'])|[{_OTHER}](?=[{_LETTER}0-9])")
 _BASE = 0x9E3779B97F4A7C15
 _encoders: dict[bytes, object] = {}
 
@@ -142,33 +149,48 @@ def encode_corpus(documents: DataFrame, vocabulary: Vocabulary | None = None, ke
     """(key, ids): the ids of every text, without special tokens; strings that look like special tokens are ordinary text.
 
     An empty and a NULL text give an empty list. Every row of the input comes out, repeated
-    rows and rows with a NULL key too. A chunk that a third of all texts share is aggregated
-    before it is shuffled and encoded once; the references to it are rows of some 50 bytes,
-    which adaptive skew joins split.
+    rows and rows with a NULL key too. The corpus is read and cut once. A task sends the
+    text of a chunk once and its other places as references of some 50 bytes; a chunk with
+    more than ``HOT`` places in a task, as one that a third of all texts share, is spread
+    over ``SALTS`` groups by its places, each of which encodes it once.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary or Vocabulary())  # the size of the vocabulary's file
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def typed(made: pd.DataFrame, like: pd.Series) -> pd.DataFrame:
+        return made.astype({"key": like.dtype}) if like.dtype != object else made
 
     def chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[bytes, int] = {}  # of the chunks of a split
+        sent: set[tuple[bytes, int]] = set()
         for frame in frames:
             out = []
             for k, t in zip(frame["key"].tolist(), frame["text"].tolist()):
                 mark = int.from_bytes(_digest(t, 8), "little", signed=True)
-                chunks = cut(t)
-                out += [(k, mark, i, len(chunks), _digest(c), c) for i, c in enumerate(chunks)]
-            made = pd.DataFrame(out, columns=["key", "mark", "seq", "of", "digest", "chunk"])
-            yield made.astype({"key": frame["key"].dtype}) if frame["key"].dtype != object else made
-
-    @F.pandas_udf("head string, middle binary, tail string")
-    def encoded(chunks: pd.Series) -> pd.DataFrame:
+                for i, c in enumerate(cut(t)):
+                    d = _digest(c)
+                    n = places[d] = places.get(d, 0) + 1
+                    salt = 0 if n <= HOT else 1 + n % SALTS
+                    new = (d, salt) not in sent
+                    if new:
+                        sent.add((d, salt))
+                    out.append((k, mark, i, d, salt, c if new else None))
+            yield typed(pd.DataFrame(out, columns=["key", "mark", "seq", "digest", "salt", "chunk"]), frame["key"])
+
+    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, width = shared.value.encoder().encode_ordinary, shared.value.width
-        out = []
-        for c in chunks:
-            head, middle, tail = split_at_syncs(c)
-            out.append((head, None if middle is None else np.array(encode(middle), dtype=width).tobytes(), tail))
-        return pd.DataFrame(out, columns=["head", "middle", "tail"])
+        name, made = None, ("", None, "")
+        for frame in frames:
+            out = []
+            for digest, salt, chunk in zip(frame["digest"].tolist(), frame["salt"].tolist(), frame["chunk"].tolist()):
+                if (digest, salt) != name:  # its text comes first
+                    head, middle, tail = split_at_syncs(chunk)
+                    made = head, None if middle is None else np.array(encode(middle), dtype=width).tobytes(), tail
+                    name = digest, salt
+                out.append(made)
+            yield frame[["key", "mark", "seq"]].join(pd.DataFrame(out, columns=["head", "middle", "tail"], index=frame.index))
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, width = shared.value.encoder().encode_ordinary, shared.value.width
@@ -194,10 +216,8 @@ def encode_corpus(documents: DataFrame, vocabulary: Vocabulary | None = None, ke
         if name is not None:
             yield pd.DataFrame(finish(), columns=["key", "ids"])
 
-    filled = rows.where("text <> ''")
-    cuts = filled.mapInPandas(chunked, f"key {kind}, mark bigint, seq int, of int, digest binary, chunk string")
-    once = cuts.groupBy("digest").agg(F.first("chunk").alias("chunk")).select("digest", encoded("chunk").alias("e")).select("digest", "e.*")
-    joined = cuts.select("key", "mark", "seq", "digest").join(once.hint("merge"), "digest").drop("digest")
-    ids = joined.repartition("key", "mark").sortWithinPartitions("key", "mark", "seq").mapInPandas(whole, f"key {kind}, ids array<int>")
-    nothing = rows.where("text IS NULL OR text = ''").select("key", F.array().cast("array<int>").alias("ids"))
-    return ids.unionByName(nothing).withColumnRenamed("key", key)
+    cuts = rows.mapInPandas(chunked, f"key {kind}, mark bigint, seq int, digest binary, salt int, chunk string")
+    together = cuts.repartition("digest", "salt").sortWithinPartitions("digest", "salt", F.col("chunk").isNull())
+    pieces = together.mapInPandas(encoded, f"key {kind}, mark bigint, seq int, head string, middle binary, tail string")
+    ids = pieces.repartition("key", "mark").sortWithinPartitions("key", "mark", "seq").mapInPandas(whole, f"key {kind}, ids array<int>")
+    return ids.withColumnRenamed("key", key)

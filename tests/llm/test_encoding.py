@@ -9,7 +9,7 @@ import pytest
 from ledgerlens.llm import encoding as e
 
 pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(e.TOKENIZERS, e.VOCABULARY)), reason="no vocabulary here")
-SIGNS = ["a", "b", " ", "  ", "\n", "\r\n", "'s", "'", "'re", "r", "1", "²", "é", "\u3000", "\xa0", "\x1c", "\x85", "!", "\t", "👍", "\u200d", "<|endoftext|>", "ll", "def f(x):\n    return x\n"]
+SIGNS = ["a", "b", " ", "  ", "\n", "\r\n", "'s", "'", "'re", "r", "1", "²", "é", "\u3000", "\xa0", "\x1c", "\x85", "!", "\t", "👍", "\u200d", "<|endoftext|>", "ll", "中文", "。", "、", "ｶ", "！", "я", "ё", "가", "ぁ", "_", "(", "]", "0", "٣", "ǆ", "'ve", "d", "def f(x):\n    return x\n"]
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,27 @@ def test_cuts_are_the_text_and_survive_a_shift():
     assert "".join(e.cut("x" * 100000)) == "x" * 100000 and max(map(len, e.cut("x" * 100000))) <= e.MOST
 
 
+def test_text_without_blanks_is_shared(spark, encode):
+    """A minified file and a text of Chinese: nearly all of it lies between sync points, and copies of it are cut alike."""
+    rnd = random.Random(7)
+    minified = "".join(f"function a{rnd.randint(0, 999)}(b,c){{return b+c*{rnd.randint(0, 99)};}}" for _ in range(3000))
+    chinese = "".join("".join(chr(rnd.randint(0x4E00, 0x9FA0)) for _ in range(rnd.randint(3, 12))) + rnd.choice("，。！、") for _ in range(6000))
+    for text in (minified, chinese):
+        pieces = [e.split_at_syncs(c) for c in e.cut(text)]
+        assert len(pieces) > 20 and sum(len(m or "") for _, m, _ in pieces) > 0.9 * len(text)
+        assert len(set(e.cut(text)) & set(e.cut("x" + text[:20000] + "CHANGED" + text[20000:]))) > 0.8 * len(pieces)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([minified, "1" + minified, chinese, chinese])], "doc_id bigint, text string")
+    assert {r["doc_id"]: list(r["ids"]) for r in e.encode_corpus(df).collect()} == {0: encode(minified), 1: encode("1" + minified), 2: encode(chinese), 3: encode(chinese)}
+
+
+def test_a_chunk_of_most_texts_is_spread(spark, encode, monkeypatch):
+    monkeypatch.setattr(e, "HOT", 3)
+    base = "".join(f"line {i} of a licence\n" for i in range(200))
+    texts = [base + f"own {i}" for i in range(300)] + [""] * 50 + [None] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: list(r["ids"]) for r in e.encode_corpus(df).collect()} == {i: encode(t) if t else [] for i, t in enumerate(texts)}
+
+
 def test_corpus(spark, encode):
     rnd = random.Random(5)
     base = "".join(rnd.choice(SIGNS) for _ in range(4000))
