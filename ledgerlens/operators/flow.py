@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, clustering, decay_impact, dormant, incident, last_edges, reciprocity, temporal_edges, vertices
-from ledgerlens.session import materialise
+from ledgerlens.session import materialise, written
 
 # Damping, tolerance and rounds of both variants; what a closed group's vertex keeps of its rank.
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
@@ -27,7 +27,7 @@ def pagerank(weighted: DataFrame, nodes: DataFrame | None = None, rounds: int |
     """
     nodes = vertices(weighted) if nodes is None else nodes
     total = weighted.groupBy("src").agg(F.sum("weight").alias("_t")).where("_t > 0")
-    moves = materialise(weighted.join(total, "src").where("weight > 0").select("src", "dst", (F.col("weight") / F.col("_t")).alias("p")).repartition("src"))
+    moves = materialise(weighted.join(total, "src").where("weight > 0").select("src", "dst", (F.col("weight") / F.col("_t")).alias("p")))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -78,54 +78,107 @@ def hits(simple: DataFrame, rounds: int | None = 20, tolerance: float = TOLERANC
 def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(id, scc, size): scc is the least vertex of the strongly connected component.
 
-    Vertices without an edge in or out are trimmed first. On the rest the least label that
-    reaches a vertex colours it; going backwards inside a colour from the vertex of that
-    label finds its component, and what is left goes round again.
+    Chains of vertices with one edge in and one out are drawn together first, in rounds
+    that grow with the logarithm of their length. Vertices without an edge in or out are
+    trimmed. On the rest the least label that reaches a vertex colours it; going backwards
+    inside a colour from the vertex of that label finds its component, and what is left goes
+    round again. An error where it has not settled after ``most_rounds``.
     """
     every = vertices(edges)
-    rest = materialise(edges.select("src", "dst").where("src <> dst").distinct())
+    links = materialise(edges.select("src", "dst").where("src <> dst").distinct())
+    rest, chains = _drawn_together(links)
     found: DataFrame | None = None
     for _ in range(most_rounds):
-        while True:  # trim
-            before = rest.count()
-            inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            inner = materialise(inner.select("src", "dst"))
-            rest, after = inner, inner.count()
-            if after == before:
-                break
-        if not after:
+        rest, left = _trimmed(rest)
+        if not left:
             break
         colour = _least_label(rest, vertices(rest).withColumn("label", F.col("id")))
         same = (
             rest.join(colour.select(F.col("id").alias("src"), F.col("label").alias("_a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("_b")), "dst")
             .where("_a = _b").select("src", "dst", F.col("_a").alias("label"))
         )
-        same = materialise(same)
-        reached = materialise(colour.where("id = label").select("id", "label"))
-        frontier = reached
-        while True:
-            nxt = same.join(frontier.select(F.col("id").alias("dst"), F.col("label").alias("_l")), "dst").select(F.col("src").alias("id"), "label").distinct().join(reached, "id", "left_anti")
-            frontier = materialise(nxt)
-            if not frontier.count():
-                break
-            reached = materialise(reached.unionByName(frontier))
+        reached = _reached_backwards(materialise(same), colour.where("id = label").select("id", "label"))
         found = reached if found is None else materialise(found.unionByName(reached))
         rest = materialise(rest.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    if found is None:
-        return every.select("id", F.col("id").alias("scc"), F.lit(1).cast("bigint").alias("size"))
-    sizes = found.groupBy("label").agg(F.count("*").alias("size"))
-    return every.join(found.join(sizes, "label"), "id", "left").select("id", F.coalesce("label", "id").alias("scc"), F.coalesce("size", F.lit(1)).alias("size"))
+    else:
+        raise RuntimeError("the strong components did not settle")
+    return _sized(every, found, chains)
+
+
+def _drawn_together(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(links, chains): links with each chain of vertices that have one edge in and one out as a single link; chains (id, p, n, ring): what lies before and behind each such vertex, or the least vertex of the ring that nothing enters or leaves.
+
+    Pointers are doubled, so a chain of L vertices takes about log2(L) rounds.
+    """
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    degree = links.select(F.inline(ends)).groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    inner = degree.where("i = 1 AND o = 1").select("id")
+    now = links.select(F.col("src").alias("id"), F.col("dst").alias("n")).join(inner, "id").join(links.select(F.col("dst").alias("id"), F.col("src").alias("p")), "id")
+    now = written(now.withColumn("least", F.col("id")), "chains")
+    size = now.count()
+    if not size:
+        return links, None
+    for i in range(size.bit_length() + 1):
+        ahead = now.select(F.col("id").alias("n"), F.col("n").alias("_n"), F.col("least").alias("_least"))
+        behind = now.select(F.col("id").alias("p"), F.col("p").alias("_p"))
+        now = written(
+            now.join(ahead, "n", "left").join(behind, "p", "left").select(
+                "id", F.coalesce("_p", "p").alias("p"), F.coalesce("_n", "n").alias("n"), F.least("least", F.coalesce("_least", "least")).alias("least"), (F.col("_n").isNotNull() | F.col("_p").isNotNull()).alias("moved")
+            ),
+            "chains",
+        )
+        if now.where("moved").isEmpty():
+            break
+    # what still moves after more steps than there are vertices goes round in a ring
+    chains = now.select("id", "p", "n", F.when(F.col("moved"), F.col("least")).alias("ring"))
+    kept = links.join(now.select(F.col("id").alias("src")), "src", "left_anti").join(now.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    drawn = chains.where("ring IS NULL AND p <> n").select(F.col("p").alias("src"), F.col("n").alias("dst"))
+    return materialise(kept.unionByName(drawn).distinct()), chains
+
+
+def _trimmed(rest: DataFrame) -> tuple[DataFrame, int]:
+    """The links without those that begin at a vertex nothing leads to, or end at one nothing leaves, again and again; and their number."""
+    before = rest.count()
+    while before:
+        rest = materialise(
+            rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        )
+        after = rest.count()
+        if after == before:
+            break
+        before = after
+    return rest, before
 
 
 def _least_label(links: DataFrame, start: DataFrame) -> DataFrame:
     """Labels passed on along the edges until every vertex has the least that reaches it."""
-    now = materialise(start)
-    changed = now
-    while changed.count():
-        sent = links.join(changed.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_got"))
-        new = materialise(now.join(sent, "id", "left").select("id", F.least("label", F.coalesce("_got", "label")).alias("label"), (F.col("_got") < F.col("label")).alias("_moved")))
-        now, changed = new.select("id", "label"), new.where("_moved").select("id", "label")
-    return now
+    now = materialise(start.withColumn("_moved", F.lit(True)))
+    while not now.where("_moved").isEmpty():
+        sent = links.join(now.where("_moved").select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_got"))
+        now = materialise(now.select("id", "label").join(sent, "id", "left").select("id", F.least("label", F.coalesce("_got", "label")).alias("label"), F.coalesce(F.col("_got") < F.col("label"), F.lit(False)).alias("_moved")))
+    return now.select("id", "label")
+
+
+def _reached_backwards(same: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, label): what leads to the starts along links (src, dst, label) of their label."""
+    reached = materialise(start.withColumn("_new", F.lit(True)))
+    while not reached.where("_new").isEmpty():
+        back = same.join(reached.where("_new").select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "label").distinct()
+        fresh = back.join(reached.select("id"), "id", "left_anti").withColumn("_new", F.lit(True))
+        reached = materialise(reached.withColumn("_new", F.lit(False)).unionByName(fresh))
+    return reached.select("id", "label")
+
+
+def _sized(every: DataFrame, found: DataFrame | None, chains: DataFrame | None) -> DataFrame:
+    """(id, scc, size) from the labels found; a chain belongs to a component where both of its ends do."""
+    label = every.select("id", F.col("id").alias("label")) if found is None else every.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    if chains is not None:
+        p, n = label.select(F.col("id").alias("p"), F.col("label").alias("_p")), label.select(F.col("id").alias("n"), F.col("label").alias("_n"))
+        drawn = chains.join(p, "p", "left").join(n, "n", "left").select("id", F.when(F.col("ring").isNotNull(), F.col("ring")).when(F.col("_p") == F.col("_n"), F.col("_p")).otherwise(F.col("id")).alias("_label"))
+        label = label.join(drawn, "id", "left").select("id", F.coalesce("_label", "label").alias("label"))
+    label = materialise(label)
+    sizes = label.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("scc"))
+    return label.join(sizes, "label").select("id", "scc", "size")
 
 
 def closed_groups(temporal: DataFrame, scc: DataFrame, least: int = 3) -> DataFrame:

@@ -73,3 +73,10 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(Path(package.name) / file.relative_to(package)))
     context.addPyFile(archive)
     context._ledgerlens_shipped = True
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage through a table in the shared folder. Plans then know its size, where a checkpoint keeps the estimate of its plan, which a loop of joins multiplies every round."""
+    folder = table_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -193,3 +193,35 @@ def test_components(spark):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
     assert got == {v: find(v) for v in parent}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_chains_and_rings_of_any_length(spark):
+    """A chain of 10,000 vertices, a ring of 5,000, a long loop that leaves and enters one vertex, a chain between two rings."""
+    n = 10_000
+    chain = [(i, i + 1) for i in range(n)]
+    ring = [(20_000 + i, 20_000 + (i + 1) % 5000) for i in range(5000)]
+    loop = [(30_000, 30_500), *((30_500 + i, 30_501 + i) for i in range(300)), (30_800, 30_000), (30_000, 5)]
+    two = [(40_000, 40_001), (40_001, 40_000), (40_000, 40_100), *((40_100 + i, 40_101 + i) for i in range(50)), (40_150, 40_200), (40_200, 40_201), (40_201, 40_200), (1, 40_000)]
+    df = spark.createDataFrame([*chain, *ring, *loop, *two, (7, 7)], "src bigint, dst bigint")
+    got = {r["id"]: (r["scc"], r["size"]) for r in flow.strong_components(df).collect()}
+    big = {k: v for k, v in got.items() if v[1] > 1}
+    assert all(big[20_000 + i] == (20_000, 5000) for i in range(5000))
+    assert all(big[x] == (30_000, 302) for x in [30_000, *range(30_500, 30_801)])
+    assert big[40_000] == big[40_001] == (40_000, 2) and big[40_200] == big[40_201] == (40_200, 2)
+    assert len(big) == 5000 + 302 + 4 and got[5] == (5, 1) and got[40_120] == (40_120, 1)
+
+
+def test_strong_components_against_reachability(spark):
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(6):
+        n = rnd.randint(2, 30)
+        pairs = {(rnd.randint(0, n), rnd.randint(0, n)) for _ in range(rnd.randint(1, 2 * n))}
+        reach = {v: {v} for e in pairs for v in e}
+        for _ in range(n + 1):
+            for a, b in pairs:
+                reach[a] |= reach[b]
+        want = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
+        got = {r["id"]: (r["scc"], r["size"]) for r in flow.strong_components(spark.createDataFrame(list(pairs), "src bigint, dst bigint")).collect()}
+        assert got == {v: (c, sum(x == c for x in want.values())) for v, c in want.items()}
