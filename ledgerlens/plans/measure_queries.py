@@ -214,8 +214,8 @@ st AS (SELECT component, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts,
 
 
 ORACLES = {
-    "clean_scores": """WITH u AS (SELECT DISTINCT ON (row_index) row_index, tx_score AS x FROM transactions WHERE row_index IS NOT NULL), m AS (SELECT quantile_cont(x, 0.5) AS m FROM u WHERE x IS NOT NULL AND NOT isnan(x))
-SELECT row_index, round(CASE WHEN x IS NULL OR isnan(x) THEN m WHEN isinf(x) THEN CASE WHEN x > 0 THEN 1 ELSE 0 END ELSE x END, 6) AS tx_score FROM u, m""",
+    "clean_scores": """WITH u AS (SELECT DISTINCT ON (row_index) row_index, tx_score AS x FROM transactions WHERE row_index IS NOT NULL), m AS (SELECT quantile_cont(x, 0.5) AS m FROM u WHERE x IS NOT NULL AND CAST(x AS VARCHAR) <> 'nan')
+SELECT row_index, round(CASE WHEN x IS NULL OR CAST(x AS VARCHAR) = 'nan' THEN m WHEN isinf(x) THEN CASE WHEN x > 0 THEN 1 ELSE 0 END ELSE x END, 6) AS tx_score FROM u, m""",
     "prediction_confidence": f"WITH {TX_SQL} SELECT row_index, round(2 * abs(score - 0.5), 6) AS confidence FROM tx WHERE score IS NOT NULL",
     "display_details": f"WITH {RISK_SQL} SELECT account_id, risk_recent_weighted AS risk, name, institution, risk_grade FROM t50 LEFT JOIN accounts USING (account_id)",
     "graph_role_join": f"""WITH {TX_SQL}, {EDGE_SQL}, {SIMPLE_SQL}, {DEGREE_SQL}, {MUTUAL_SQL}, d AS (SELECT id, in_degree AS i, out_degree AS o, coalesce(mutual, 0) / (in_degree + out_degree - coalesce(mutual, 0)) AS x FROM deg LEFT JOIN mu USING (id))

@@ -131,12 +131,12 @@ _DEMO = ", ".join("(" + ", ".join("NULL" if x is None else f"{x}" if isinstance(
 
 ORACLES = {
     "csv_accounts": "SELECT * FROM accounts",
-    "csv_transactions": """SELECT row_index, nullif("Date", '') AS "Date", nullif("Time", '') AS "Time", Sender_account, Receiver_account, CASE WHEN NOT isnan(amount_local_npr) THEN amount_local_npr END AS amount_local_npr, cross_border_flag, is_suspicious_tx FROM transactions""",
+    "csv_transactions": """SELECT row_index, nullif("Date", '') AS "Date", nullif("Time", '') AS "Time", Sender_account, Receiver_account, CASE WHEN CAST(amount_local_npr AS VARCHAR) <> 'nan' THEN amount_local_npr END AS amount_local_npr, cross_border_flag, is_suspicious_tx FROM transactions""",
     "csv_ml_features": f"""WITH {TX_SQL}, {VELOCITY_SQL} SELECT row_index, strftime(day, '%Y-%m-%d') AS "Date", tm AS "Time", s AS Sender_account, r AS Receiver_account, amount AS amount_local_npr, cross_border_flag,
   tx_count_10, tx_count_30, round(velocity_sum_10tx, 2) AS velocity_sum_10tx, label AS is_suspicious_tx FROM vel""",
-    "csv_edges": """SELECT Sender_account, Receiver_account, CASE WHEN NOT isnan(amount_local_npr) THEN amount_local_npr END AS amount_local_npr, strftime("Date", '%Y-%m-%d') AS "Date", strftime("Date", '%H:%M:%S') AS "Time" FROM graph_edges""",
+    "csv_edges": """SELECT Sender_account, Receiver_account, CASE WHEN CAST(amount_local_npr AS VARCHAR) <> 'nan' THEN amount_local_npr END AS amount_local_npr, strftime("Date", '%Y-%m-%d') AS "Date", strftime("Date", '%H:%M:%S') AS "Time" FROM graph_edges""",
     "json_reports": "SELECT * FROM reports",
-    "orc_feedback": "SELECT account_id, CASE WHEN NOT isnan(score) THEN score END AS score, label, path_id FROM feedback",
+    "orc_feedback": "SELECT account_id, CASE WHEN CAST(score AS VARCHAR) <> 'nan' THEN score END AS score, label, path_id FROM feedback",
     "cached_degrees": graph_queries.ORACLES["degrees"],
     "csv_binned_features": graph_queries.ORACLES["decile_bins"],
     "xml_reports": "SELECT str_id, coalesce(nullif(trim(account_number), ''), 'UNKNOWN') AS account_number, account_id, nullif(trim(reason), '') AS reason FROM reports",
