@@ -128,12 +128,16 @@ def path_selection(spark, folder):
 
 
 def network_weights(spark, folder):
-    """Weights from a fixed network over a vertex's degrees, by attention, and a learned penalty."""
+    """Weights of three scores of a vertex and a penalty, from networks fitted on whether the vertex takes part in a labelled transaction: mean model score, share of edges that come in, and reciprocity."""
     d = graph.reciprocity(graph.last_edges(edges(spark, folder)))
-    inputs = [F.log1p("in_degree"), F.log1p("out_degree"), F.col("reciprocity")]
-    w = neural.attention(neural.fixed_layers((3, 8, 3), "softmax", 1), np.eye(3), *inputs)
-    p = neural.group_penalty(neural.fixed_layers((3, 8, 1), "sigmoid", 2), *inputs)
-    out = d.select("id", w.alias("w"), p.alias("penalty"))
+    seen = risk.by_role(transactions(spark, folder), "score", "label").groupBy(F.col("account_id").alias("id")).agg(F.max("label").alias("label"), F.avg("score").alias("mean_score"))
+    rows = d.join(seen, "id", "left").na.fill(0, ["label"]).na.fill(0.0, ["mean_score"])
+    rows = materialise(rows.select("id", "label", "mean_score", "degree_ratio", "reciprocity", F.log1p("in_degree").alias("i"), F.log1p("out_degree").alias("o")))
+    names = ["i", "o", "reciprocity"]
+    inputs = [F.col(c) for c in names]
+    w = neural.attention(neural.fit_weights(rows, names, ["mean_score", "degree_ratio", "reciprocity"], "label"), np.eye(3), *inputs)
+    p = neural.group_penalty(neural.fit_penalty(rows, names, "label"), *inputs)
+    out = rows.select("id", w.alias("w"), p.alias("penalty"))
     return out.select("id", *(F.round(F.col("w")[i], 6).alias(n) for i, n in enumerate(fusion.NAMES)), F.round("penalty", 6).alias("penalty"))
 
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import network, neural, paths
 
 
+def fixed_layers(sizes, last="sigmoid", seed=0):
+    g = np.random.default_rng(seed)
+    return neural.Layers(tuple((g.normal(0, 1 / np.sqrt(a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])), last)
+
+
 def test_layers_match_numpy(spark):
-    net = neural.fixed_layers((2, 4, 3), "softmax", 3)
+    net = fixed_layers((2, 4, 3), "softmax", 3)
     data = [(0.5, -1.0), (None, 2.0), (float("nan"), 0.0)]
     got = spark.createDataFrame(data, "a double, b double").select(neural.apply_layers(net, F.col("a"), F.col("b")).alias("y")).collect()
     want = net(np.array([[0.5, -1.0], [0.0, 2.0], [0.0, 0.0]]))
     assert np.allclose([r["y"] for r in got], want) and np.allclose(want.sum(axis=1), 1)
-    p = spark.createDataFrame(data, "a double, b double").select(neural.group_penalty(neural.fixed_layers((2, 4, 1)), F.col("a"), F.col("b")).alias("p")).collect()
+    p = spark.createDataFrame(data, "a double, b double").select(neural.group_penalty(fixed_layers((2, 4, 1)), F.col("a"), F.col("b")).alias("p")).collect()
     assert all(0.1 <= r["p"] <= 1 for r in p)
 
 
