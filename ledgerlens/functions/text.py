@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -78,22 +80,35 @@ def summary(df: DataFrame, text: str, context: str = "", sentences: int = 3, out
     return df.withColumn(out, F.concat(F.lit(f"[{context}] " if context else ""), F.array_join(best, ". "), F.lit(".")))
 
 
+def _stretches(entity: str, text: str, least: float) -> Iterator[str]:
+    """The stretches of the entity's length that share enough letters with it to be as alike as ``least``: the count of shared letters moves on with the window and bounds the likeness from above."""
+    n = len(entity)
+    lack = Counter(entity)  # of each letter what the window is short of; below zero what it has too many
+    shared = 0
+    for i, x in enumerate(text):
+        shared += lack[x] > 0
+        lack[x] -= 1
+        if i >= n:
+            y = text[i - n]
+            lack[y] += 1
+            shared -= lack[y] > 0
+        if i >= n - 1 and shared >= least * n:
+            yield text[i - n + 1 : i + 1]
+
+
 @F.pandas_udf(T.BooleanType())
 def _similar(entity: pd.Series, text: pd.Series, threshold: pd.Series) -> pd.Series:
     def one(e: str | None, t: str | None, least: float) -> bool:
-        if e is None or t is None:
-            return False
-        e, t = e.lower(), t.lower()
-        if e in t:
-            return True
-        return any(SequenceMatcher(None, e, t[i : i + len(e)]).ratio() >= least for i in range(len(t) - len(e) + 1))
+        return bool(e) and bool(t) and any(SequenceMatcher(None, e, w).ratio() >= least for w in _stretches(e, t, least))
 
     return pd.Series([one(*x) for x in zip(entity, text, threshold)])
 
 
 def similar(entity: Column, text: Column, threshold: float = 0.75) -> Column:
-    """Whether the entity stands in the text, or a stretch of its length is as alike; the one comparison built-in functions cannot make."""
-    return _similar(entity, text, F.lit(threshold))
+    """Whether the entity stands in the text, or a stretch of its length is as alike; FALSE for NULL. Only rows without the entity as it is go to Python, for the one comparison built-in functions cannot make."""
+    e, t = F.lower(entity), F.lower(text)
+    stands = F.coalesce(F.contains(t, e), F.lit(False))
+    return stands | F.coalesce(_similar(F.when(~stands, e), F.when(~stands, t), F.lit(threshold)), F.lit(False))
 
 
 def faithfulness(df: DataFrame, summary_text: str = "summary") -> DataFrame:

@@ -69,13 +69,15 @@ def stacked(train: DataFrame, features: list[str], label: str = "label", key: st
 
 
 def load_or_fit(path: str, fit) -> PipelineModel:
-    """The model kept at a path, or ``fit()`` saved there first."""
+    """The model kept at a path, or ``fit()`` saved there first. A model that is there and cannot be read is an error and stays as it is."""
     try:
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - a missing or unreadable model is fitted anew
-        model = fit()
-        model.write().overwrite().save(path)
-        return model
+    except Exception as e:  # noqa: BLE001 - which class says that a path is missing depends on the file system
+        if not any(x in str(e) for x in ("does not exist", "PATH_NOT_FOUND", "FileNotFound")):
+            raise
+    model = fit()
+    model.write().save(path)
+    return model
 
 
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:

@@ -230,3 +230,27 @@ def test_kept_model(spark, tmp_path):
     a = learned.load_or_fit(str(tmp_path / "m"), fit)
     b = learned.load_or_fit(str(tmp_path / "m"), fit)
     assert made == [1] and a.stages[-1].coefficients == b.stages[-1].coefficients
+
+
+def test_similar_against_every_stretch(spark):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("ab1") for _ in range(n))
+    data = [(word(rnd.randint(0, 6)), word(rnd.randint(0, 25))) for _ in range(300)] + [(None, "a"), ("a", None), ("A1", "xa1x"), ("", "x")]
+
+    def plain(e, t):
+        if e is None or t is None:
+            return False
+        e, t = e.lower(), t.lower()
+        return e in t or any(SequenceMatcher(None, e, t[i : i + len(e)]).ratio() >= 0.75 for i in range(len(t) - len(e) + 1))
+
+    got = spark.createDataFrame(data, "e string, t string").select("e", "t", text.similar(F.col("e"), F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == [plain(r["e"], r["t"]) for r in got]
+
+
+def test_a_kept_model_that_cannot_be_read_is_an_error(tmp_path, spark):
+    (tmp_path / "m" / "metadata").mkdir(parents=True)
+    (tmp_path / "m" / "metadata" / "part-00000").write_text("no model")
+    with pytest.raises(Exception):
+        learned.load_or_fit(str(tmp_path / "m"), lambda: pytest.fail("fitted anew"))
