@@ -85,15 +85,30 @@ def priority_bands(risk: DataFrame, score: str = "risk_recent_weighted") -> Data
 
 
 def account_facts(tx: DataFrame) -> DataFrame:
-    """Counts, totals and ratios per account over both roles; a NULL amount adds 0."""
+    """Counts, totals and ratios per account over both roles; a NULL amount adds 0.
+
+    Rows are added up per account, side and counterparty first, so that counterparties are
+    counted without a copy of every row for each count. Totals are given to six decimals, as
+    the last bits of a sum follow the order of addition.
+    """
     rows = by_role(tx.withColumn("_c", F.coalesce("amount", F.lit(0.0))), "s", "r", "_c", "cross_border_flag", "tx_count_10", "tx_count_30")
+    pairs = rows.withColumn("_other", F.when(F.col("side") == 0, F.col("r")).otherwise(F.col("s"))).groupBy("account_id", "side", "_other").agg(
+        F.count("*").alias("_n"), F.sum("_c").alias("_sum"), F.max("_c").alias("_max"), *(x for c in ("cross_border_flag", "tx_count_10", "tx_count_30") for x in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}")))
+    )
     out, into = F.col("side") == 0, F.col("side") == 1
-    facts = rows.groupBy("account_id").agg(
-        F.count_if(into).alias("count_in"), F.count_if(out).alias("count_out"),
-        F.coalesce(F.sum(F.when(into, F.col("_c"))), F.lit(0.0)).alias("total_in"), F.coalesce(F.sum(F.when(out, F.col("_c"))), F.lit(0.0)).alias("total_out"),
-        F.countDistinct(F.when(into, F.col("s"))).alias("unique_senders"), F.countDistinct(F.when(out, F.col("r"))).alias("unique_receivers"),
-        F.max("_c").alias("max_single_tx"), F.coalesce(F.avg(F.when(out, F.col("cross_border_flag"))), F.lit(0.0)).alias("cross_border_ratio_out"),
-        F.avg("cross_border_flag").alias("cross_border_ratio"), F.avg("tx_count_10").alias("_recent"), F.avg("tx_count_30").alias("_past"),
+
+    def total(x: str, where: Column, none: float = 0.0) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(x))), F.lit(none))
+
+    def mean(c: str, where: Column | None = None) -> Column:
+        up, down = (F.col(f"_{k}_{c}") if where is None else F.when(where, F.col(f"_{k}_{c}")) for k in ("s", "n"))
+        return F.try_divide(F.sum(up), F.sum(down))
+
+    facts = pairs.groupBy("account_id").agg(
+        total("_n", into, 0).cast("bigint").alias("count_in"), total("_n", out, 0).cast("bigint").alias("count_out"), F.round(total("_sum", into), 6).alias("total_in"), F.round(total("_sum", out), 6).alias("total_out"),
+        F.count_if(into & F.col("_other").isNotNull()).alias("unique_senders"), F.count_if(out & F.col("_other").isNotNull()).alias("unique_receivers"),
+        F.max("_max").alias("max_single_tx"), F.coalesce(mean("cross_border_flag", out), F.lit(0.0)).alias("cross_border_ratio_out"),
+        mean("cross_border_flag").alias("cross_border_ratio"), mean("tx_count_10").alias("_recent"), mean("tx_count_30").alias("_past"),
     )
     return facts.withColumns({
         "avg_in_amount": F.col("total_in") / F.greatest(F.col("count_in"), F.lit(1)),
