@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import held
 from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, clustering, decay_impact, dormant, incident, last_edges, reciprocity, temporal_edges, vertices
 from ledgerlens.session import materialise, written
 
@@ -227,19 +228,33 @@ def td_pagerank(edges: DataFrame, half_life: float = 7.0, rounds: int | None = N
 def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount", most_rounds: int = 1000) -> DataFrame:
     """(id, betweenness) from ``sources`` vertices taken by a hash of the id, amounts as distances, scaled by n/k over (n-1)(n-2).
 
-    Distances, path counts and dependencies are rows (source, vertex) that are relaxed
-    until nothing changes, so neither the graph nor a source's tree has to fit a task.
-    Edges of distance 0 or less cannot order a path and count as 1e-9.
+    Distances below 1e-9 are longer than nothing and shorter than all others: of paths of
+    one length those with the fewest such edges are the shortest. The tasks walk the graph
+    held as arrays; one too large for that is walked in rows.
     """
     nodes = vertices(simple)
     n = nodes.count()
     k = min(sources, n)
-    arcs = materialise(simple.where("src <> dst").select("src", "dst", F.greatest(F.col(distance), F.lit(1e-9)).alias("w")))
+    arcs = materialise(simple.where("src <> dst").select("src", "dst", F.when(F.col(distance) >= 1e-9, F.col(distance)).otherwise(0.0).alias("w")))
     seeds = materialise(nodes.orderBy(F.xxhash64("id"), "id").limit(k))
-    now = materialise(seeds.select(F.col("id").alias("o"), "id", F.lit(0.0).alias("d")))
+    graph = held.hold(arcs, "w")
+    if graph is None:
+        sums = _dependencies(arcs, seeds, most_rounds)
+    else:
+        sums = materialise(held.summed_dependencies(graph, "w", seeds, most_rounds).groupBy("id").agg(F.sum("v").alias("v"), F.max("open").alias("open")))
+        if not sums.where("open").isEmpty():
+            raise RuntimeError("the distances did not settle")
+    scale = n / (k * (n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.join(sums.select("id", (F.col("v") * scale).alias("betweenness")), "id", "left").na.fill(0.0, ["betweenness"])
+
+
+def _dependencies(arcs: DataFrame, seeds: DataFrame, most_rounds: int) -> DataFrame:
+    """(id, v): the dependencies of the seeds on each vertex. Distances, path counts and dependencies are rows (source, vertex) that are relaxed until nothing changes, so neither the graph nor a source's tree has to fit a task. A distance is its length and the number of edges that add nothing to it."""
+    further = F.struct((F.col("d.l") + F.col("w")).alias("l"), (F.col("d.z") + (F.col("d.l") + F.col("w") == F.col("d.l")).cast("long")).alias("z"))
+    now = materialise(seeds.select(F.col("id").alias("o"), "id", F.struct(F.lit(0.0).alias("l"), F.lit(0).cast("long").alias("z")).alias("d")))
     moved = now
     for _ in range(most_rounds):
-        step = moved.join(arcs, moved["id"] == arcs["src"]).groupBy("o", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("_n"))
+        step = moved.join(arcs, moved["id"] == arcs["src"]).groupBy("o", F.col("dst").alias("id")).agg(F.min(further).alias("_n"))
         both = materialise(now.join(step, ["o", "id"], "full_outer").select("o", "id", F.least("d", "_n").alias("d"), (F.col("d").isNull() | (F.col("_n") < F.col("d"))).alias("_m")))
         now, moved = both.select("o", "id", "d"), both.where("_m").select("o", "id", "d")
         if moved.isEmpty():
@@ -247,7 +262,7 @@ def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount",
     else:
         raise RuntimeError("the distances did not settle")
     to = now.select("o", F.col("id").alias("dst"), F.col("d").alias("_e"))
-    tree = materialise(now.join(arcs, now["id"] == arcs["src"]).join(to, ["o", "dst"]).where("d + w = _e").select("o", "src", "dst"))
+    tree = materialise(now.join(arcs, now["id"] == arcs["src"]).join(to, ["o", "dst"]).where(further == F.col("_e")).select("o", "src", "dst"))
     sigma = _settle(now.select("o", "id"), tree, seeds)
     weights = materialise(
         tree.join(sigma.select("o", F.col("id").alias("src"), F.col("v").alias("_s")), ["o", "src"]).join(sigma.select("o", F.col("id").alias("dst"), F.col("v").alias("_t")), ["o", "dst"])
@@ -262,9 +277,7 @@ def betweenness(simple: DataFrame, sources: int = 500, distance: str = "amount",
             break
     else:
         raise RuntimeError("the dependencies did not settle")
-    scale = n / (k * (n - 1) * (n - 2)) if n > 2 else 0.0
-    sums = delta.where("o <> id").groupBy("id").agg((F.sum("v") * scale).alias("betweenness"))
-    return nodes.join(sums, "id", "left").na.fill(0.0, ["betweenness"])
+    return delta.where("o <> id").groupBy("id").agg(F.sum("v").alias("v"))
 
 
 def _settle(nodes: DataFrame, tree: DataFrame, seeds: DataFrame) -> DataFrame:
