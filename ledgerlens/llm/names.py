@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import combinations, product
+from collections.abc import Iterable, Iterator
+from itertools import chain, combinations, islice, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +25,12 @@ from ledgerlens.session import materialise
 
 #: More rows than this of short forms would not be sent to every task.
 MOST_FORMS = 200_000
-#: Beyond so many words a name is not compared, but linked with equal ones.
+#: Beyond so many words a name's blocks leave the further names open.
 MOST_WORDS = 24
+#: Beyond so many joined forms of its words a name's blocks are the wide ones.
+MOST_JOINED = 512
+#: Rows of a frame of blocks, of which a long name has many.
+FRAME = 100_000
 #: Beyond so many signs a code is kept as its hash.
 LONG_CODE = 64
 #: Jaro-Winkler from which two words are one, and the edits that may lie between: by the letters of the shorter one.
@@ -219,30 +223,47 @@ def meanings(token: str, kind: str, leads: list[str], forms: Forms) -> frozenset
     return frozenset(out)
 
 
-def block_keys(kind: str, full: list[Word], rest: list[str], forms: Forms) -> list[str]:
+def _codes_of(full: list[Word]) -> list[list[str]]:
+    return [sorted({short(code(m)) for m in ms}) for _, ms in full]
+
+
+def wide_keys(kind: str, full: list[Word], rest: list[str]) -> set[str]:
+    """Blocks of a parse that it shares with every other of which all words agree with its own, whatever number of forms there are: the codes of any two words, of names with one word or more than ``MOST_WORDS`` of any one; with the numbers (=), or without (x)."""
+    of = _codes_of(full)
+    if 1 < len(of) <= MOST_WORDS:
+        parts = {" ".join(sorted((a, b))) for x, y in combinations(of, 2) for a in x for b in y}
+    else:
+        parts = {a for x in of for a in x}
+    marks = {f"=c{len(of)}|{','.join(rest)}|"} if kind == "company" else set()
+    if not rest:
+        marks.add(f"xc{len(of)}||")
+    return {m + p for m in marks for p in parts}
+
+
+def block_keys(kind: str, full: list[Word], rest: list[str], forms: Forms) -> Iterable[str]:
     """Blocks of a parse, each with a mark that says what it is compared with.
 
     A person's key joins the codes of two forms, sorted, and ends with the initial of a third
     name (mark =), or with * where that is open: b for names without a third name, t for
     those with one, and only b-b and b-t pairs are compared, so that many names with the
-    same two parts do not pair with each other over an open third. A company's key joins the
-    codes of all its words and its numbers (=). A name of two words without letters may be a
+    same two parts do not pair with each other over an open third. A name of more than
+    ``MOST_WORDS`` words, of which there are few, has * keys only, l: it pairs with b, t and
+    l, as spelling out every third would take the cube of its words. A company's key joins the
+    codes of all its words and its numbers (=), or, where too many forms would be joined, is
+    w, one of ``wide_keys``, which are made of the other names only if there are any such. A name of two words without letters may be a
     company's that left out its legal form: x pairs with y, companies known as such by
     nothing but that. Two names written as one word: j, of which there are few, with all
     codes an edit away, pairs with k, the code of the two names in either order.
     """
-    if len(full) > MOST_WORDS:
-        return []
-    forms_of = [sorted({short(code(m)) for m in ms}) for _, ms in full]
+    forms_of = _codes_of(full)
 
     def whole(mark: str, numbers: str) -> set[str]:
         size = 1
         for f in forms_of:
             size *= len(f)
-        if size <= 512:
+        if size <= MOST_JOINED:
             return {mark + "c|" + " ".join(sorted(x)) + "|" + numbers for x in product(*forms_of)}
-        pairs = combinations(range(len(full)), 2)  # any two words agree if all do
-        return {f"{mark}c{len(full)}|" + " ".join(sorted((a, b))) + "|" + numbers for i, j in pairs for a in forms_of[i] for b in forms_of[j]}
+        return {f"w{k}" for k in wide_keys(kind, full, rest) if k[0] == ("=" if mark == "=" else "x")}
 
     if kind == "company":
         numbers = ",".join(rest)
@@ -258,6 +279,9 @@ def block_keys(kind: str, full: list[Word], rest: list[str], forms: Forms) -> li
             joined = "".join(t for t, _ in pair)
             plain = joined.isascii() and len(joined) < LONG_CODE - 1
             keys |= {f"kj|{d}" for d in ({code(joined)} if plain else near(code(joined)))}
+    if len(full) > MOST_WORDS:
+        every = [(i, f) for i, fs in enumerate(forms_of) for f in fs]
+        return chain(sorted(keys), ("lp|" + " ".join(sorted((f, g))) + "|*" for (i, f), (j, g) in combinations(every, 2) if i != j))
     for i, j in combinations(range(len(full)), 2):
         third = set()
         for k, (t, ms) in enumerate(full):
@@ -354,17 +378,26 @@ def paired(a: list, b: list, agree) -> tuple[list, list]:
     near = [[j for j, y in enumerate(b) if agree(x, y)] for x in a]
     of: dict[int, int] = {}
 
-    def place(i: int, seen: set[int]) -> bool:
-        for j in near[i]:
-            if j not in seen:
-                seen.add(j)
-                if j not in of or place(of[j], seen):
-                    of[j] = i
-                    return True
-        return False
-
-    for i in range(len(a)):
-        place(i, set())
+    for i in range(len(a)):  # a way that ends at a free one moves all on it; its steps are kept here, as names may be long
+        seen: set[int] = set()
+        way, tries = [i], [iter(near[i])]
+        took: list[int] = []
+        while way:
+            j = next((j for j in tries[-1] if j not in seen), None)
+            if j is None:
+                way.pop()
+                tries.pop()
+                if took:
+                    took.pop()
+                continue
+            seen.add(j)
+            took.append(j)
+            if j not in of:
+                for k, m in zip(way, took):
+                    of[m] = k
+                break
+            way.append(of[j])
+            tries.append(iter(near[of[j]]))
     taken = set(of.values())
     return [x for i, x in enumerate(a) if i not in taken], [y for j, y in enumerate(b) if j not in of]
 
@@ -464,7 +497,7 @@ def _leads(sigs: DataFrame, forms: Forms, shared) -> DataFrame:
     spark = sigs.sparkSession
     table = [("person", t) for t in sorted({*forms.full, *forms.short})] + [("company", t) for t in sorted(forms.trade)]
     stated = spark.createDataFrame(table, "kind string, token string").withColumn("n", F.lit(1 << 60))
-    seen = sigs.where(F.size("full") <= MOST_WORDS).select("kind", F.explode(F.array_distinct("full")).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("n"))
+    seen = sigs.select("kind", F.explode(F.array_distinct("full")).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("n"))
     tokens = materialise(seen.unionByName(stated).groupBy("kind", "token").agg(F.max("n").alias("n")))
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -487,7 +520,7 @@ def _leads(sigs: DataFrame, forms: Forms, shared) -> DataFrame:
 def _with_faces(sigs: DataFrame, forms: Forms, shared) -> DataFrame:
     """(sig, face, kind): the different parses with the forms their tokens lead to."""
     leads = materialise(_leads(sigs, forms, shared))
-    words_ = sigs.where(F.size("full") <= MOST_WORDS).select("sig", "kind", F.explode(F.array_distinct("full")).alias("token"))
+    words_ = sigs.select("sig", "kind", F.explode(F.array_distinct("full")).alias("token"))
     known = words_.join(leads, ["kind", "token"]).groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("token", "leads"))).alias("leads"))
     joined = sigs.join(known.hint("merge"), "sig", "left")
 
@@ -508,8 +541,7 @@ def link_names(accounts: DataFrame, name_forms: DataFrame, key: str = "account_i
 
     NULL names, names without letters and placeholders are left out. Rows with a NULL key
     are left out; repeated rows count once. Names that fit several different holders only by
-    a left-out or abbreviated part stay on their own. A name of more than ``MOST_WORDS``
-    words is linked with equal ones only.
+    a left-out or abbreviated part stay on their own.
     """
     forms = _forms(name_forms)
     spark = accounts.sparkSession
@@ -530,8 +562,13 @@ def link_names(accounts: DataFrame, name_forms: DataFrame, key: str = "account_i
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for frame in frames:
-            rows = [(s, f, k[0], k[1:]) for s, f in frame.itertuples(index=False) for k in block_keys(*opened(f), table)]
-            yield pd.DataFrame(rows, columns=["sig", "face", "role", "block"])
+            rows = ((s, k[0], k[1:]) for s, f in frame.itertuples(index=False) for k in block_keys(*opened(f), table))
+            while part := list(islice(rows, FRAME)):
+                yield pd.DataFrame(part, columns=["sig", "role", "block"])
+
+    def widely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(s, "v", k) for s, f in frame.itertuples(index=False) for k in wide_keys(*opened(f))], columns=["sig", "role", "block"])
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
@@ -554,10 +591,13 @@ def link_names(accounts: DataFrame, name_forms: DataFrame, key: str = "account_i
     )
     sigs = rows.groupBy("sig").agg(F.first("kind").alias("kind"), F.first("full").alias("full"), F.first("rest").alias("rest"))
     faces = materialise(_with_faces(sigs, forms, shared))
-    blocks = materialise(faces.mapInPandas(keyed, "sig string, face string, role string, block string").select(F.xxhash64("sig").alias("id"), "role", F.xxhash64("block").alias("block")))
-    left = blocks.where("role IN ('=', 'b', 'x', 'j')").select("block", "role", F.col("id").alias("a"))
+    hashed = [F.xxhash64("sig").alias("id"), "role", F.xxhash64("block").alias("block")]
+    blocks = materialise(faces.mapInPandas(keyed, "sig string, role string, block string").select(*hashed))
+    if not blocks.where("role = 'w'").isEmpty():
+        blocks = blocks.unionByName(faces.mapInPandas(widely, "sig string, role string, block string").select(*hashed))
+    left = blocks.where("role IN ('=', 'b', 'x', 'j', 'l', 'w')").select("block", "role", F.col("id").alias("a"))
     right = blocks.select("block", F.col("role").alias("role_b"), F.col("id").alias("b"))
-    met = "(role = '=' AND role_b = '=' AND a < b) OR (role = 'b' AND (role_b = 't' OR (role_b = 'b' AND a < b))) OR (role = 'x' AND role_b = 'y') OR (role = 'j' AND role_b = 'k')"
+    met = "(role = '=' AND role_b = '=' AND a < b) OR (role = 'b' AND (role_b = 't' OR (role_b = 'b' AND a < b))) OR (role = 'x' AND role_b = 'y') OR (role = 'j' AND role_b = 'k') OR (role = 'l' AND (role_b IN ('b', 't') OR (role_b = 'l' AND a < b))) OR (role = 'w' AND role_b = 'v')"
     pairs = left.join(right.hint("merge"), "block").where(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     named = faces.select(F.xxhash64("sig").alias("id"), "sig", "face")
     both = pairs.join(named.selectExpr("id AS a", "sig AS sig_a", "face AS face_a").hint("merge"), "a").join(named.selectExpr("id AS b", "sig AS sig_b", "face AS face_b").hint("merge"), "b")
