@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import in_order
+
 GRADES = {"RISK-LOW": 1, "RISK-MED": 2, "RISK-HIGH": 3}
 THRESHOLDS = (100_000, 500_000, 1_000_000)
 VELOCITY_ROWS = 10
@@ -169,9 +171,18 @@ def role_join(tx: DataFrame, vertex: DataFrame, key: str, columns: dict[str, str
 
 def training_rows(tx: DataFrame, accounts: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """The wide training relation: temporal, pair, velocity and threshold features, account risk of both roles, graph features where given (NULL as 0)."""
-    wide = near_thresholds(sender_zscore(pair_features(temporal(behaviour(tx))))).withColumn("velocity_burst_ratio", burst_ratio())
+    return of_both_roles(own_features(tx), accounts, graph)
+
+
+def own_features(tx: DataFrame) -> DataFrame:
+    """What a training row takes from the transactions alone; every row counts, so a part of the rows is taken afterwards."""
+    return near_thresholds(sender_zscore(pair_features(temporal(behaviour(tx))))).withColumn("velocity_burst_ratio", burst_ratio())
+
+
+def of_both_roles(rows: DataFrame, accounts: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """rows with what their sender and receiver have: account risk, and graph features where given (NULL as 0). No row counts for another, so any part of the rows can be joined alone."""
     rates = account_risk_rates(one_per_key(accounts, "account_id"))
-    wide = role_join(wide, rates, "account_id", {"institution_risk_rate": "institution_risk", "branch_risk_rate": "branch_risk", "risk_grade": "kyc_risk_grade"})
+    wide = role_join(rows, rates, "account_id", {"institution_risk_rate": "institution_risk", "branch_risk_rate": "branch_risk", "risk_grade": "kyc_risk_grade"})
     if graph is not None and "account_id" in graph.columns:
         names = {c: c for c in graph.columns if c != "account_id"}
         wide = role_join(wide, graph, "account_id", names)
@@ -182,26 +193,16 @@ def training_rows(tx: DataFrame, accounts: DataFrame, graph: DataFrame | None =
 def temporal_split(tx: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """split: rows by (day, tm, row_index), cut at the shares' row numbers; rows without a day come last.
 
-    Row numbers are global but no task sorts all rows: rows are counted per day and hour,
-    inside an hour per time (at most as many as it has seconds), inside a time per stretch
-    of row_index, and numbered inside that, so neither undated rows nor those without a
-    time are one task.
+    Row numbers are global but no task sorts all rows: they are counted in ranges
+    (``in_order``) of day, time and row_index, so neither undated rows nor those without a
+    time are one task. The rows come out of a checkpoint.
     """
-    day, tm = F.coalesce(F.unix_date("day"), F.lit(2**31 - 1)), F.coalesce("tm", F.lit("~"))
-    placed = tx.withColumns({"_d": day, "_t": tm, "_s": F.substring(tm, 1, 2), "_h": F.floor(F.col("row_index") / SHARD_ROWS)})
-    parts = placed.groupBy("_d", "_s", "_t", "_h").agg(F.count("*").alias("_c"))
-    hours = parts.groupBy("_d", "_s").agg(F.sum("_c").alias("_c"))
-    hours = hours.select("_d", "_s", F.coalesce(F.sum("_c").over(W.orderBy("_d", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b0"), F.sum("_c").over(W.partitionBy()).alias("_all"))  # a row per hour
-    times = parts.groupBy("_d", "_s", "_t").agg(F.sum("_c").alias("_c"))
-    times = times.withColumn("_b1", F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s").orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inner = F.coalesce(F.sum("_c").over(W.partitionBy("_d", "_s", "_t").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_b2", inner).join(times, ["_d", "_s", "_t"]).join(hours, ["_d", "_s"]).drop("_c")
-    own = F.row_number().over(W.partitionBy("_d", "_s", "_t", "_h").orderBy("row_index"))
-    joined = placed.withColumn("_in", own).join(parts, ["_d", "_s", "_t", "_h"])
-    at = F.col("_b0") + F.col("_b1") + F.col("_b2") + F.col("_in") - 1
-    cut_1, cut_2 = F.floor(F.col("_all") * F.lit(float(train))), F.floor(F.col("_all") * F.lit(train + validation))
+    moment = F.struct(F.coalesce(F.unix_date("day"), F.lit(2**31 - 1)).alias("d"), F.coalesce("tm", F.lit("~")).alias("t"))
+    placed = in_order(tx.withColumn("_v", moment), "_v", "row_index")
+    at = F.col("_rank") - 1
+    cut_1, cut_2 = F.floor(F.col("_n") * F.lit(float(train))), F.floor(F.col("_n") * F.lit(train + validation))
     split = F.when(at < cut_1, "train").when(at < cut_2, "validation").otherwise("test")
-    return joined.withColumn("split", split).select(*tx.columns, "split")
+    return placed.withColumn("split", split).select(*tx.columns, "split")
 
 
 def until(edges: DataFrame, day: Column, time: Column | None = None) -> DataFrame:

@@ -3,20 +3,24 @@
 An iteration is a join of the current vertex values with the edges and an aggregation that
 is pre-combined on the map side; lineage is cut by a checkpoint after every round or every
 few. Scalars (dangling mass, distance between rounds) are subqueries or one-row results.
+``graph_features`` goes through the rounds on arrays where the graph fits a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import held
-from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, clustering, decay_impact, dormant, incident, last_edges, reciprocity, temporal_edges, vertices
+from ledgerlens.operators.graph import CLOSED_SHARE, DORMANT_CAP, DORMANT_DAYS, aged, clustering, decay_impact, dormant, incident, last_edges, reciprocity, temporal_edges, vertices
 from ledgerlens.session import materialise, written
 
 # Damping, tolerance and rounds of both variants; what a closed group's vertex keeps of its rank.
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 COLLECTOR, DISTRIBUTOR, BALANCED, SYMMETRIC = 0.25, 0.5, 0.375, 0.5
+#: The age of an edge without a day, older than any.
+UNDATED = 2**31 - 1
 
 
 def pagerank(weighted: DataFrame, nodes: DataFrame | None = None, rounds: int | None = None, tolerance: float = TOLERANCE, per_node: bool = False) -> DataFrame:
@@ -293,16 +297,54 @@ def _settle(nodes: DataFrame, tree: DataFrame, seeds: DataFrame) -> DataFrame:
             return now
 
 
-def graph_features(edges: DataFrame, half_life: float = 7.0, sources: int = 500) -> DataFrame:
-    """(account_id, gf_*): every measure of a vertex that models take, one row per vertex of the edges."""
-    simple = materialise(last_edges(edges))
+#: What ``_settled`` gives of every vertex.
+SETTLED = "hub double, authority double, normalised double, cycle_member boolean, in_cycle int"
+
+
+def _settled(g: held.Held, dormant_days: int = DORMANT_DAYS) -> dict[str, np.ndarray]:
+    """(id, *SETTLED) of every vertex of a graph with weights and ages: what ``hits``, ``td_pagerank`` and ``strong_components`` give."""
+    weight, age = g.columns["weight"], g.columns["age"]
+    hub, authority = held.hubs(g, TOLERANCE, ROUNDS)
+    label = held.strong(g)
+    size = np.bincount(label, minlength=g.n)[label]
+    inside = (label[g.src] == label[g.dst]) & (size[g.src] >= 3)
+    intra, total = (np.bincount(g.src[x], weight[x], g.n) + np.bincount(g.dst[x], weight[x], g.n) for x in (inside, slice(None)))
+    closed = np.divide(intra, total, out=np.zeros(g.n), where=total > 0) > CLOSED_SHARE
+    score = held.ranks(g, weight, DAMPING, TOLERANCE, ROUNDS) * np.where(closed, SYMMETRIC, 1.0)
+    youngest = np.full(g.n, UNDATED)
+    np.minimum.at(youngest, g.src, age)
+    np.minimum.at(youngest, g.dst, age)
+    score = np.where((youngest > dormant_days) & (youngest < UNDATED), np.minimum(score, DORMANT_CAP * score.max()), score)
+    low, high = score.min(), score.max()
+    normalised = (score - low) / (high - low) if high > low else np.zeros(g.n)
+    return {"id": g.ids, "hub": hub, "authority": authority, "normalised": normalised, "cycle_member": size > 2, "in_cycle": (size > 1).astype(np.int32)}
+
+
+def _settled_in_rows(edges: DataFrame, simple: DataFrame, half_life: float) -> DataFrame:
+    """(id, *SETTLED), each measure in plans of its own."""
     scc = materialise(strong_components(edges))
-    ranks = td_pagerank(edges, half_life, scc=scc).select("id", "normalised", "cycle_member")
+    out = scc.select("id", (F.col("size") > 1).cast("int").alias("in_cycle"))
+    for other in (hits(simple, None), td_pagerank(edges, half_life, scc=scc).select("id", "normalised", "cycle_member")):
+        out = out.join(materialise(other), "id", "left")
+    return out
+
+
+def graph_features(edges: DataFrame, half_life: float = 7.0, sources: int = 500) -> DataFrame:
+    """(account_id, gf_*): every measure of a vertex that models take, one row per vertex of the edges.
+
+    The measures that go on in rounds are taken from the graph held as arrays, in one task;
+    in a graph too large for that they are plans.
+    """
+    ages = aged(edges).groupBy("src", "dst").agg(F.coalesce(F.min("age"), F.lit(UNDATED)).alias("age"))
+    arcs = materialise(last_edges(edges).join(temporal_edges(edges, half_life), ["src", "dst"]).join(ages, ["src", "dst"]))
+    simple = arcs.select("src", "dst", "amount")
+    whole = held.hold(arcs.withColumn("weight", F.coalesce("weight", F.lit(0.0))), "weight", "age")
+    if whole is None:
+        settled = _settled_in_rows(edges, simple, half_life)
+    else:
+        settled = held.once(whole, edges.sparkSession, _settled, f"id {edges.schema['src'].dataType.simpleString()}, {SETTLED}")
     out = reciprocity(simple)
-    for other in (
-        clustering(simple).select("id", "clustering"), betweenness(simple, sources), hits(simple, None), ranks,
-        scc.select("id", (F.col("size") > 1).cast("int").alias("in_cycle")), decay_impact(temporal_edges(edges, half_life)),
-    ):
+    for other in (clustering(simple).select("id", "clustering"), betweenness(simple, sources), settled, decay_impact(arcs)):
         out = out.join(materialise(other), "id", "left")
     names = {
         "in_degree": "in_degree", "out_degree": "out_degree", "weighted_in_degree": "weighted_in", "weighted_out_degree": "weighted_out", "clustering_coefficient": "clustering",
